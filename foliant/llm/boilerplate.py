@@ -36,7 +36,8 @@ class RepeatedLines:
 
     def __init__(self, docs: DataFrame, item: str, source: str, text: str, least: int = 8):
         self.least = least
-        self.docs = cut(docs.select(F.col(f"`{item}`").alias("item"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text")).dropna().distinct())
+        self.all = cut(docs.select(F.col(f"`{item}`").alias("item"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text")).filter("item IS NOT NULL").distinct())
+        self.docs = self.all.dropna()
         line = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).cast("long").alias("no"), normal_line(x).alias("t")))
         kept = F.filter(line, lambda x: x["t"] != "")
         rank = F.transform(kept, lambda x, i: F.struct(x["no"].alias("no"), i.cast("long").alias("at"), F.struct(F.xxhash64(x["t"]).alias("x"), F.xxhash64(F.lit(7), x["t"]).alias("y")).alias("rank")))
@@ -82,8 +83,8 @@ class RepeatedLines:
         return ends.filter(F.col("covered").isNull() | (F.col("covered") < F.col("at") + F.col("size"))).select("item", F.col("no").alias("line_no"), F.col("size").alias("lines"), "documents")
 
     def cleaned(self) -> DataFrame:
-        """(item, text, removed): each document with the repeated lines taken out, and how many were."""
+        """(item, text, removed): every document with the repeated lines taken out, and how many were (a null text stays null)."""
         gone = self.lines.groupBy("item").agg(F.collect_set("no").alias("gone"))
-        d = self.docs.join(gone, "item", "left")
+        d = self.all.join(gone, "item", "left")
         left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("gone"), (i + 1).cast("long")))
         return d.select("item", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("removed")).withColumn("removed", F.greatest("removed", F.lit(0).cast("long")))
