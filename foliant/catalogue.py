@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.operators import quantities as Q
+from foliant.queries import audit, chunking, graph, images, registry, retrieval
 from foliant.sources.tables import table
 
 _CELLS = ("min_value", "max_value", "typical_value")
@@ -25,8 +26,11 @@ def p3_common_units(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p3_common_units": p3_common_units}
+    out = {f.__name__: f for f in (p3_found, p3_common_units)}
+    for module in (retrieval, chunking, audit, images):
+        out |= {f.__name__: f for f in module.QUERIES}
+    return out | graph.QUERIES | registry.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return retrieval.SQL | chunking.SQL | graph.SQL | audit.SQL | images.SQL | registry.SQL
