@@ -66,7 +66,7 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def adjacency(edges: DataFrame, first: int = 80) -> DataFrame:
     """(src, dst, label, nth): up to ``first`` links of each node, both ways, loops twice; the cut is made before the shuffle too."""
     w = Window.partitionBy("src").orderBy("dst", "label")
-    return both_ways(edges).withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= first)
+    return both_ways(edges).withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= first).withColumn("nth", F.col("nth").cast("bigint"))
 
 
 def component_sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:

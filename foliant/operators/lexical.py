@@ -55,7 +55,7 @@ class LexicalIndex:
 def top_k(hits: DataFrame, k: int) -> DataFrame:
     """The k best rows (query_id, item, score) of each query with their rank from 1; ties by item."""
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "item")
-    return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def idf(n: int, df: int) -> float:
