@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.plans.lineage import cut
-from foliant.plans.skew import attach
+from foliant.plans.skew import attach, union_all
 
 
 def normal_line(c: Column) -> Column:
@@ -53,8 +53,8 @@ class RepeatedLines:
 
     def _extend(self, suffixes: DataFrame, heads: DataFrame, by: int) -> DataFrame:
         """Suffixes whose block still spans enough documents when ``heads``' ranks are put behind it; length grows by ``by``."""
-        behind = heads.select("item", F.col("at").alias("__at"), F.col("rank").alias("__behind"))
-        longer = suffixes.join(behind, (suffixes["item"] == behind["item"]) & (suffixes["at"] + suffixes["size"] == F.col("__at"))).drop(behind["item"])
+        behind = heads.select(F.col("item").alias("__item"), F.col("at").alias("__at"), F.col("rank").alias("__behind"))
+        longer = suffixes.join(behind, (F.col("item") == F.col("__item")) & (F.col("at") + F.col("size") == F.col("__at")))
         longer = cut(longer.select("item", "source", "no", "at", (F.col("size") + by).alias("size"), _pair(F.col("rank"), F.col("__behind")).alias("rank")))
         counts = longer.select("source", "rank", "item").distinct().groupBy("source", "rank").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") >= self.least)
         return cut(attach(longer, counts, ["source", "rank"], "documents"))
@@ -65,19 +65,13 @@ class RepeatedLines:
         levels = [self.lines.select("item", "source", "no", "at", F.lit(1).alias("size"), "rank", "documents")]
         while not levels[-1].isEmpty():  # doubling: 1, 2, 4, ... lines
             levels.append(self._extend(levels[-1], levels[-1], 2 ** (len(levels) - 1)))
-        best = levels[0]
-        for k in range(len(levels) - 2, -1, -1):  # the longest length is a sum of powers of two, the largest first
-            start = levels[k] if k == len(levels) - 2 else best
-            if k == len(levels) - 2:
-                best = start.unionByName(levels[0].join(start, ["item", "at"], "left_anti")) if k else levels[0]
-                continue
-            short = best.filter(F.col("size") < 2**k)
-            raised = levels[k].join(short, ["item", "at"], "left_semi") if k else levels[0].limit(0)
-            grown = self._extend(best.filter(F.col("size") >= 2 ** (k + 1)).drop("documents"), levels[k], 2**k)
-            better = raised.unionByName(grown)
-            best = cut(better.unionByName(best.join(better, ["item", "at"], "left_anti")))
-        from pyspark.sql import Window
-
+        top = max(0, len(levels) - 2)
+        best = levels[top]
+        for k in range(top - 1, -1, -1):  # the longest length is a sum of powers of two, the largest first
+            grown = self._extend(best, levels[k], 2**k)
+            kept = best.join(grown.select("item", "at"), ["item", "at"], "left_anti")
+            fresh = levels[k].join(best.select("item", "at"), ["item", "at"], "left_anti")
+            best = cut(union_all([x.select("item", "source", "no", "at", "size", "rank", "documents") for x in (grown, kept, fresh)]))
         before = Window.partitionBy("item").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
         ends = best.withColumn("covered", F.max(F.col("at") + F.col("size")).over(before))
         return ends.filter(F.col("covered").isNull() | (F.col("covered") < F.col("at") + F.col("size"))).select("item", F.col("no").alias("line_no"), F.col("size").alias("lines"), "documents")
