@@ -31,7 +31,7 @@ LABELS = {name: line.split()[0] for line in NAMES.split("\n") for name in line.s
 # Labels that name no language.
 NO_LABEL = {"", "und", "unknown", "none", "null", "n/a", "na", "mul", "mis", "zxx", "other", "?", "-"}
 
-_IDENTIFIER = re.compile(r"[A-Za-z]*[0-9_][A-Za-z0-9_]*|(?<![^\W\d_])[A-Z]{2,}(?![a-zà-ÿ])")
+_IDENTIFIER = re.compile(r"(?<![A-Za-z0-9_])(?:[A-Za-z]*+[0-9_][A-Za-z0-9_]*+|[A-Z]{2,}+(?![a-zà-ÿ]))")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _IDEOGRAPHS = re.compile(r"[⺀-⿟々〇㐀-䶿一-鿿豈-﫿]")
 _LONGEST_WORD = 24
@@ -54,16 +54,21 @@ def prose_words(line: str) -> list[str]:
     """
     if len(line.strip()) < 20:
         return []
-    found = _LETTERS.findall(_IDENTIFIER.sub(" ", line))
-    if not any(len(w) > 1 for w in found) and line.isupper():
-        found = [w for w in re.findall(r"(?<![\w.])[^\W\d_]+(?![\w])", line) if len(w) > 1]
+    found = _LETTERS.findall(_IDENTIFIER.sub(" ", line).lower())
+    if line.isupper() and not any(len(w) > 1 for w in found):
+        found = [w.lower() for w in re.findall(r"(?<![\w.])[^\W\d_]+(?![\w])", line) if len(w) > 1]
         if len(found) < 4 or sum(map(len, found)) < 3.5 * len(found):
             return []
-    weight = sum(2 * len(_IDEOGRAPHS.findall(w)) or len(w) for w in found if len(w) > 1 or _IDEOGRAPHS.match(w))
-    if weight < 5:
+    weight = 0
+    for w in found:
+        weight += len(w) if w.isascii() and len(w) > 1 else 2 * len(_IDEOGRAPHS.findall(w)) or len(w) if len(w) > 1 or _IDEOGRAPHS.match(w) else 0
+        if weight >= 5:
+            break
+    else:
         return []
-    words = (w.lower() for w in found)
-    return [w[i : i + _LONGEST_WORD] for w in words for i in range(0, len(w), _LONGEST_WORD)]
+    if max(map(len, found)) <= _LONGEST_WORD:
+        return found
+    return [w[i : i + _LONGEST_WORD] for w in found for i in range(0, len(w), _LONGEST_WORD)]
 
 
 def _script(ch: str) -> str:
@@ -144,7 +149,8 @@ class LanguageModel:
     def __init__(self, path: str = VOCABULARY):
         self.path = path
         self.p: np.ndarray | None = None
-        self._cache: dict[str, np.ndarray] = {}
+        self._at: dict[str, int] = {}
+        self._rows: np.ndarray | None = None
 
     def _estimate(self, lattice: _Lattice, weights: np.ndarray, rounds: int = 3) -> None:
         none = len(vocabulary(self.path))
@@ -178,32 +184,37 @@ class LanguageModel:
                 labels = [int(np.argmax(sum(n * score[at[w]] for w, n in c.items()))) for _, c in lines]
         seen = np.bincount(labels, minlength=len(LANGUAGES)) > 0
         self.p[:, ~seen] = 0  # a language without a single line can't be told
-        self._cache = {}
+        self._at, self._rows = {}, None
         return self
 
     def __getstate__(self) -> dict:
-        return {"path": self.path, "p": self.p, "_cache": {}}
+        return {"path": self.path, "p": self.p, "_at": {}, "_rows": None}
 
     def scores(self, lines: list[list[str]]) -> np.ndarray:
-        """log P(line | language) of each line."""
-        if len(self._cache) > 200_000:  # bounds memory only: a word left out is scored again
-            self._cache.clear()
-        new = list({w for words in lines for w in words if w not in self._cache})
+        """log P(line | language) of each line; no line is empty."""
+        if len(self._at) > 200_000:  # bounds memory only: a word left out is scored again
+            self._at, self._rows = {}, None
+        new = [w for w in dict.fromkeys(w for words in lines for w in words) if w not in self._at]
         if new:
             with np.errstate(divide="ignore"):
-                self._cache.update(zip(new, _Lattice(new, vocabulary(self.path)).score(self.p, len(new)), strict=True))
-        get = self._cache.__getitem__
-        return np.array([np.sum([get(w) for w in words], axis=0) for words in lines]).reshape(-1, len(LANGUAGES))
-
-    def tell(self, lines: list[list[str]]) -> np.ndarray:
+                rows = _Lattice(new, vocabulary(self.path)).score(self.p, len(new))
+            self._at.update(zip(new, range(len(self._at), len(self._at) + len(new)), strict=True))
+            self._rows = rows if self._rows is None else np.concatenate([self._rows, rows])
+        if not lines:
+            return np.zeros((0, len(LANGUAGES)))
+        get = self._at.__getitem__
+        at = np.fromiter((get(w) for words in lines for w in words), dtype=np.int64)
+        return np.add.reduceat(self._rows[at], np.cumsum([0, *map(len, lines[:-1])]))
+
+    @staticmethod
+    def tell(scores: np.ndarray) -> np.ndarray:
         """Posterior of each line of one document; the document's own mixture of languages is the prior."""
-        like = self.scores(lines)
-        like = np.exp(like - like.max(1, keepdims=True))
+        like = np.exp(scores - scores.max(1, keepdims=True))
         mixture = np.full(like.shape[1], 1 / like.shape[1])
         for _ in range(3):
             post = like * mixture
             post /= post.sum(1, keepdims=True)
-            mixture = (post.sum(0) + 0.05) / (len(lines) + 0.05 * like.shape[1])
+            mixture = (post.sum(0) + 0.05) / (len(like) + 0.05 * like.shape[1])
         return post
 
 
@@ -219,6 +230,21 @@ def training_sample(docs: DataFrame, doc: str, text: str, label: str, per_langua
     return [(r.code, r.text) for r in best.select("code", "text").orderBy("code", "text").collect()]
 
 
+def _groups(batch: pa.RecordBatch, most: int = 500_000) -> Iterator[list[tuple[int, str | None, list[tuple[int, list[str]]]]]]:
+    """(id, label, numbered prose lines) of the documents with any, in groups of about ``most`` characters, so that memory is bounded."""
+    part, size = [], 0
+    for d, t, said in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        numbered = [(no, w) for no, line in enumerate(t.split("\n"), 1) if (w := prose_words(line))]
+        if numbered:
+            part.append((d, said, numbered))
+            size += len(t)
+        if size >= most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def languages(docs: DataFrame, doc: str, text: str, label: str, model: LanguageModel | None = None, vocabulary_path: str = VOCABULARY) -> DataFrame:
     """(doc_id, line_no, lang, confidence, label_ok, mixed, letters): line_no 0 is the document, others its prose lines.
 
@@ -241,18 +267,18 @@ def languages(docs: DataFrame, doc: str, text: str, label: str, model: LanguageM
         m = shared.value
         for batch in batches:
             rows = []
-            for d, t, said in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                numbered = [(no, w) for no, line in enumerate(t.split("\n"), 1) if (w := prose_words(line))]
-                if not numbered:
-                    continue
-                post = m.tell([w for _, w in numbered])
-                top = post.argmax(1)
-                size = [sum(map(len, w)) for _, w in numbered]
-                lines, letters = np.bincount(top, minlength=len(LANGUAGES)), np.bincount(top, weights=size, minlength=len(LANGUAGES))
-                main = max(range(len(LANGUAGES)), key=lambda k: (lines[k], letters[k], -k))
-                ok, mixed = named(said) == LANGUAGES[main], int((lines > 0).sum()) > 1
-                rows.append((d, 0, LANGUAGES[main], float(post[:, main].mean()), ok, mixed, sum(size)))
-                rows += [(d, no, LANGUAGES[k], float(q[k]), ok, mixed, n) for (no, _), k, q, n in zip(numbered, top.tolist(), post, size, strict=True)]
+            for part in _groups(batch):
+                scores, at = m.scores([w for _, _, numbered in part for _, w in numbered]), 0
+                for d, said, numbered in part:
+                    post = m.tell(scores[at : at + len(numbered)])
+                    at += len(numbered)
+                    top = post.argmax(1)
+                    size = [sum(map(len, w)) for _, w in numbered]
+                    lines, letters = np.bincount(top, minlength=len(LANGUAGES)), np.bincount(top, weights=size, minlength=len(LANGUAGES))
+                    main = max(range(len(LANGUAGES)), key=lambda k: (lines[k], letters[k], -k))  # noqa: B023
+                    ok, mixed = named(said) == LANGUAGES[main], int((lines > 0).sum()) > 1
+                    rows.append((d, 0, LANGUAGES[main], float(post[:, main].mean()), ok, mixed, sum(size)))
+                    rows += [(d, no, LANGUAGES[k], float(q[k]), ok, mixed, n) for (no, _), k, q, n in zip(numbered, top.tolist(), post, size, strict=True)]
             cols = list(zip(*rows, strict=True)) or [()] * 7
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.bool_(), pa.bool_(), pa.int64()), strict=True)], names=["doc_id", "line_no", "lang", "confidence", "label_ok", "mixed", "letters"])
 
