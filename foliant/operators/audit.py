@@ -74,7 +74,11 @@ def differences(stored: DataFrame, fresh: DataFrame, with_images: bool = False)
 
 def ordered_terms(given: list[str], graph: list[str]) -> list[str]:
     """Given terms, then graph terms, the first spelling of each; blank ones left out."""
-    return list({t.strip().lower(): t for t in reversed([*given, *graph]) if t.strip()}.values())[::-1]
+    first: dict[str, str] = {}
+    for t in [*given, *graph]:
+        if t.strip():
+            first.setdefault(t.strip().lower(), t)
+    return list(first.values())
 
 
 def alignments(chunks: DataFrame, terms: list[str]) -> DataFrame:

@@ -22,9 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="foliant-")
-    spark.conf.set("spark.checkpoint.dir", own)
+    spark.sparkContext.setCheckpointDir(own)
     _written.append((spark, own))
-    return own
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
