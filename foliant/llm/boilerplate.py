@@ -55,25 +55,34 @@ class RepeatedLines:
         """Suffixes whose block still spans enough documents when ``heads``' ranks are put behind it; length grows by ``by``."""
         behind = heads.select(F.col("item").alias("__item"), F.col("at").alias("__at"), F.col("rank").alias("__behind"))
         longer = suffixes.join(behind, (F.col("item") == F.col("__item")) & (F.col("at") + F.col("size") == F.col("__at")))
-        longer = cut(longer.select("item", "source", "no", "at", (F.col("size") + by).alias("size"), _pair(F.col("rank"), F.col("__behind")).alias("rank")))
+        longer = cut(longer.select("item", "source", "no", "at", (F.col("size") + by).alias("size"), _pair(F.col("rank"), F.col("__behind")).alias("rank"), "real"))
         counts = longer.select("source", "rank", "item").distinct().groupBy("source", "rank").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") >= self.least)
         return cut(attach(longer, counts, ["source", "rank"], "documents"))
 
     def blocks(self) -> DataFrame:
         """(item, line_no, lines, documents): for each suffix in a repeated block, its longest block that spans enough documents,
-        given once where no longer one of the same document runs over it from an earlier line."""
-        levels = [self.lines.select("item", "source", "no", "at", F.lit(1).alias("size"), "rank", "documents")]
-        while not levels[-1].isEmpty():  # doubling: 1, 2, 4, ... lines
+        given once where no longer one of the same document runs over it from an earlier line.
+
+        Ranks are doubled as long as any common prefix spans enough documents; then the longest length of each suffix is summed up of
+        powers of two, the largest first. A suffix that has gone on to a longer prefix still counts for the shorter one (as one that
+        isn't "real" there) as long as another suffix stays at it.
+        """
+        levels = [self.lines.select("item", "source", "no", "at", F.lit(1).alias("size"), "rank", F.lit(True).alias("real"), "documents")]
+        while not levels[-1].isEmpty():
             levels.append(self._extend(levels[-1], levels[-1], 2 ** (len(levels) - 1)))
-        top = max(0, len(levels) - 2)
-        best = levels[top]
-        for k in range(top - 1, -1, -1):  # the longest length is a sum of powers of two, the largest first
-            grown = self._extend(best, levels[k], 2**k)
-            kept = best.join(grown.select("item", "at"), ["item", "at"], "left_anti")
-            fresh = levels[k].join(best.select("item", "at"), ["item", "at"], "left_anti")
-            best = cut(union_all([x.select("item", "source", "no", "at", "size", "rank", "documents") for x in (grown, kept, fresh)]))
+        top, key = max(0, len(levels) - 2), ["item", "at", "size"]
+        states = levels[top]
+        for k in range(top - 1, -1, -1):
+            grown = self._extend(states, levels[k], 2**k)
+            went = grown.select("item", "at", (F.col("size") - 2**k).alias("size"))
+            stayed = states.join(went, key, "left_anti").unionByName(states.join(went, key, "left_semi").withColumn("real", F.lit(False)))
+            longer = states.filter("real").select("item", "at", F.lit(True).alias("longer"))
+            first = levels[k].join(longer, ["item", "at"], "left").withColumn("real", F.col("longer").isNull())
+            states = cut(union_all([x.select("item", "source", "no", "at", "size", "rank", "real", "documents") for x in (grown, stayed, first)]))
+            needed = states.filter("real").select("source", "rank").distinct()
+            states = cut(states.join(needed, ["source", "rank"], "left_semi"))
         before = Window.partitionBy("item").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-        ends = best.withColumn("covered", F.max(F.col("at") + F.col("size")).over(before))
+        ends = states.filter("real").withColumn("covered", F.max(F.col("at") + F.col("size")).over(before))
         return ends.filter(F.col("covered").isNull() | (F.col("covered") < F.col("at") + F.col("size"))).select("item", F.col("no").alias("line_no"), F.col("size").alias("lines"), "documents")
 
     def cleaned(self) -> DataFrame:

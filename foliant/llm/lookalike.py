@@ -110,7 +110,7 @@ def skeleton(text: str) -> str:
 
 @lru_cache(1)
 def _cyrillic() -> dict[int, str]:
-    return {ord(line[0]): x for line in LOOK_ALIKES.split("\n") for x in line.split()[1:] if "\u0400" <= x <= "\u04ff"}
+    return {ord(line[0]): x for line in LOOK_ALIKES.split("\n") for x in reversed(line.split()[1:]) if "\u0400" <= x <= "\u04ff"}
 
 
 def consistent_text(text: str) -> str:

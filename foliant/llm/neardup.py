@@ -119,7 +119,8 @@ class NearDuplicates:
 
         Counted over (digest, hash) classes, so no class is expanded into pairs.
         """
-        m = self.members
+        bare = "sha IS NULL AND value IS NULL"  # linked to nothing, so no class
+        m = self.members.filter(f"NOT ({bare})")
         classes = cut(m.groupBy("sha", "value").agg(F.count(F.lit(1)).alias("n"), F.min("item").alias("head")))
         by_sha = classes.filter("sha IS NOT NULL").groupBy("sha").agg(F.sum("n").alias("in_sha"), F.min("head").alias("sha_head"), F.count(F.lit(1)).alias("k"))
         by_value = self.values.select("value", F.col("n").alias("in_value"), F.col("head").alias("value_head"))
@@ -140,7 +141,8 @@ class NearDuplicates:
         c = c.join(found, F.col("head") == F.col("vertex")).select("sha", "value", "n", "component", "links")
         keyed = lambda d: d.withColumn("k", F.md5(F.concat_ws("|", F.coalesce("sha", F.lit("-")), F.coalesce(F.col("value").cast("string"), F.lit("-")))))
         out = attach(keyed(m).select("item", "k"), keyed(c).select("k", "n", "component", "links"), ["k"], "n")
-        return out.groupBy("item").agg(F.min("component").alias("group_id"), F.max("links").alias("links"))
+        alone = self.members.filter(bare).select("item", F.lit(None).cast("string").alias("k"), F.lit(1).cast("bigint").alias("n"), F.col("item").alias("component"), F.lit(0).cast("bigint").alias("links"))
+        return out.unionByName(alone).groupBy("item").agg(F.min("component").alias("group_id"), F.max("links").alias("links"))
 
 
 def bands_for(distance: int, rows: int, target: float) -> int:
