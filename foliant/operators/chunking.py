@@ -115,3 +115,34 @@ def upserted(store: DataFrame, update: DataFrame, key: str, version: str) -> Dat
     row = F.struct(F.col(version).alias("__v"), *[F.to_json(F.struct(c)).alias(f"__o_{i}") for i, c in enumerate(plain)], )
     best = both.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(version, *plain), row).alias("__r"))
     return best.select(key, *[F.col(f"__r.{c}").alias(c) for c in both.columns if c != key])
+
+
+def metadata() -> Column:
+    """A chunk's provenance as one map: its five fixed entries, and meta_<k> for each entry of ``meta``; null values are empty."""
+    fixed = F.create_map(*[x for c in ("doc_id", "chunk_type", "page_start", "page_end", "section_path") for x in (F.lit(c), F.coalesce(F.col(c).cast("string"), F.lit("")))])
+    own = F.map_from_entries(F.transform(F.map_entries(F.coalesce("meta", F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.concat(F.lit("meta_"), e["key"]).alias("key"), F.coalesce(e["value"], F.lit("")).alias("value"))))
+    return F.map_concat(fixed, own)
+
+
+def table_rows(items: DataFrame, doc: str = "doc_id", order: str = "seq") -> DataFrame:
+    """(doc_id, seq, row_no, cells) of items with ``table struct<header, rows>``, rows numbered from 1; no table gives no rows."""
+    t = items.select(F.col(doc).alias("doc_id"), F.col(order).alias("seq"), "table").filter("kind = 'table'" if "kind" in items.columns else "true")
+    return t.select("doc_id", "seq", F.posexplode("table.rows").alias("at", "cells")).select("doc_id", "seq", (F.col("at") + 1).alias("row_no"), "cells")
+
+
+def table_chunks(items: DataFrame, doc: str = "doc_id", order: str = "seq") -> DataFrame:
+    """(doc_id, seq, register, text): tables as atomic chunks, never windowed.
+
+    A bit-field table with a column whose name contains "register" gives one chunk for each register, without rows that name
+    none; any other table is one chunk, its header and rows as lines of cells between bars.
+    """
+    t = items.filter("kind = 'table' AND table IS NOT NULL").select(F.col(doc).alias("doc_id"), F.col(order).alias("seq"), "page_no", F.col("table.header").alias("h"), F.coalesce("table.rows", F.array().cast("array<array<string>>")).alias("rows"))
+    at = F.array_position(F.transform("h", lambda x: F.contains(F.lower(x), F.lit("register"))), F.lit(True)).cast("int") - 1
+    t = t.withColumn("at", F.when(looks_like_bit_fields(F.col("h")) & (at >= 0), at))
+    bars = lambda r: F.array_join(F.transform(r, lambda x: F.coalesce(x, F.lit(""))), " | ")
+    whole = t.filter("at IS NULL").select("doc_id", "seq", "page_no", F.lit(None).cast("string").alias("register"), F.concat_ws("\n", bars(F.col("h")), F.transform("rows", bars)).alias("text"))
+    cells = t.filter("at IS NOT NULL").select("doc_id", "seq", "page_no", "h", "at", F.posexplode("rows").alias("no", "r")).withColumn("register", F.get("r", F.col("at"))).filter("register IS NOT NULL")
+    line = F.array_join(F.transform(F.arrays_zip("h", "r"), lambda x: F.concat(x["h"], F.lit(": "), F.coalesce(x["r"], F.lit("")))), " | ")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("no", line.alias("line")))), lambda x: x["line"])
+    split = cells.groupBy("doc_id", "seq", "page_no", "register").agg(lines.alias("lines")).select("doc_id", "seq", "page_no", "register", F.concat(F.lit("Register: "), "register", F.lit("\n"), F.array_join("lines", "\n")).alias("text"))
+    return whole.unionByName(split)

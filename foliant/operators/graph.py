@@ -137,3 +137,10 @@ def graph_terms(nodes: DataFrame, most: int = 40) -> DataFrame:
     t = nodes.select(strip("name").alias("term"), "node_id").filter("length(term) BETWEEN 2 AND 80")
     once = t.groupBy(norm("term").alias("key")).agg(F.min(F.struct("node_id", "term")).alias("f"))
     return once.select("f.term", "f.node_id").orderBy("node_id").limit(most)
+
+
+def hit_test(places: DataFrame, x: float, y: float, scale: float = 1.0) -> DataFrame:
+    """The node of ``places(node_id, x, y)`` nearest to a point, if it lies within 16 / scale; ties by id."""
+    d = F.pow(F.col("x") - x, 2) + F.pow(F.col("y") - y, 2)
+    best = places.withColumn("d", d).filter(F.col("d") <= (16 / scale) ** 2).agg(F.min(F.struct("d", "node_id")).alias("m"))
+    return best.filter("m IS NOT NULL").select("m.node_id")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.text import hamming_hex, strip
+from foliant.functions.text import hamming_hex, json_object, strip
 from foliant.plans.skew import union_all
 
 # Picture types, those never indexed, the least side in pixels, and the bits a near hash may differ in.
@@ -108,3 +111,55 @@ def difference_hash(pixels: Column, width: int) -> Column:
     bits = F.array_join(F.transform(at, lambda i: F.when(F.get(pixels, i) > F.get(pixels, i + 1), "1").otherwise("0")), "")
     nibbles = F.transform(F.sequence(F.lit(0), F.floor(F.length(bits) / 4).cast("int") - 1), lambda k: F.lower(F.conv(F.substring(bits, k * 4 + 1, F.lit(4)), 2, 16)))
     return F.array_join(nibbles, "")
+
+
+ANSWER = "should_index boolean, image_type string, title string, summary string, extracted_text string, entities array<string>, relationships array<string>, search_terms array<string>, confidence double"
+
+
+def answers(raw: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, analysis columns) of a model's texts; one that holds no JSON object stands as an indexable "other" of confidence 0.5."""
+    parsed = F.from_json(json_object(text), ANSWER)
+    kept = raw.select(F.col(key), parsed.alias("a"), strip(F.coalesce(text, F.lit(""))).alias("raw"))
+    plain = {"should_index": F.lit(True), "image_type": F.lit("other"), "title": F.lit(None), "summary": F.col("raw"), "confidence": F.lit(0.5)}
+    names = [c.split()[0] for c in ANSWER.split(", ")]
+    return kept.select(key, *[F.when(F.col("a").isNull(), plain.get(c, F.lit(None))).otherwise(F.col(f"a.{c}")).alias(c) for c in names])
+
+
+def analysed(candidates: DataFrame, cache: DataFrame, analyse: Callable[[bytes], str | None] | None) -> tuple[DataFrame, DataFrame]:
+    """Results for each candidate, and the cache with what was analysed now.
+
+    ``candidates(image_id, doc_id, ordinal, width, height, content, perceptual_hash)``, ``cache(image_sha256, perceptual_hash, + analysis)``. Small ones are
+    left out. All look-ups come before any analysis; of equal digests one is analysed; ``analyse`` may be None (cache only). A picture whose analysis fails
+    (None or an exception) has no result and isn't cached.
+    """
+    from foliant.plans.lineage import cut
+
+    ready = cut(candidates.filter(large_enough()).withColumn("image_sha256", F.sha2("content", 256)))
+    probe = cut(cache_probe(ready, cache))
+    names = [c.split()[0] for c in ANSWER.split(", ")]
+    stored = cache.select(F.lower("image_sha256").alias("cache_sha"), *names).dropDuplicates(["cache_sha"])
+    new = ready.join(probe.filter("hit = 'none'").select("image_id"), "image_id", "left_semi").groupBy("image_sha256").agg(F.first("content").alias("content"), F.min("perceptual_hash").alias("perceptual_hash"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            said = []
+            for content in b.content:
+                try:
+                    said.append(analyse(bytes(content)) if analyse else None)
+                except Exception:  # noqa: BLE001 - one picture's failure must not lose the others
+                    said.append(None)
+            yield pd.DataFrame({"image_sha256": b.image_sha256, "perceptual_hash": b.perceptual_hash, "said": said})
+
+    said = cut(new.mapInPandas(run, "image_sha256 string, perceptual_hash string, said string")).filter("said IS NOT NULL")
+    fresh = said.select("image_sha256", "perceptual_hash").join(normalized(answers(said, "image_sha256", "said"), "image_sha256"), "image_sha256")
+    from_cache = ready.join(probe.filter("hit <> 'none'"), "image_id").join(stored, "cache_sha").withColumn("from_cache", F.lit(True))
+    from_model = ready.drop("perceptual_hash").join(probe.filter("hit = 'none'"), "image_id").join(fresh.drop("perceptual_hash"), "image_sha256").withColumn("from_cache", F.lit(False))
+    out = [results(normalized_in_place(x)).select("image_id", "doc_id", "ordinal", "image_sha256", "from_cache", *names) for x in (from_cache, from_model)]
+    cached = cache.select("image_sha256", "perceptual_hash", *names).unionByName(fresh.select("image_sha256", "perceptual_hash", *names))
+    return union_all(out), cached
+
+
+def normalized_in_place(df: DataFrame) -> DataFrame:
+    """``df`` with its analysis columns in the one form, others as they are."""
+    rest = [c for c in df.columns if c not in [x.split()[0] for x in ANSWER.split(", ")] and c != "image_id"]
+    return normalized(df.withColumn("__rest", F.struct("image_id", *rest)), "__rest").select("__rest.*", *[x.split()[0] for x in ANSWER.split(", ")])

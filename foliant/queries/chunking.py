@@ -48,7 +48,21 @@ def chunk_upsert(spark: SparkSession, folder: str) -> DataFrame:
     return C.upserted(rows.filter(prose), rows.filter(~prose).unionByName(rows), "chunk_id", "ingested_at")
 
 
-QUERIES = [chunk_prose_windows, chunk_sections, atomic_table_chunks, bitfield_table_detect, chunk_ids_unique, chunk_ids_repaired, chunk_upsert]
+def chunk_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "chunks").select("seq", C.canonical_map(C.metadata()).alias("metadata")).distinct()
+
+
+def whole_table_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Each register's fields as a table with or without a register column, by its width."""
+    reg = table(spark, folder, "registers").select("reg_id", "doc_id", "name", "width_bits", "fields").distinct()
+    own = F.coalesce(F.col("width_bits") == 32, F.lit(False))
+    rows = F.transform(F.coalesce("fields", F.array().cast(reg.schema["fields"].dataType)), lambda f: F.when(own, F.array(F.col("name"), f["name"], f["bit_range"], f["access"])).otherwise(F.array(f["name"], f["bit_range"], f["access"])))
+    header = F.when(own, F.array(*map(F.lit, ("Register", "Field", "Bits", "Access")))).otherwise(F.array(*map(F.lit, ("Field", "Bits", "Access"))))
+    items = reg.select("doc_id", F.col("reg_id").alias("seq"), F.lit("table").alias("kind"), F.lit(1).alias("page_no"), F.struct(header.alias("header"), rows.alias("rows")).alias("table"))
+    return C.table_chunks(items).select("seq", "register", "text")
+
+
+QUERIES = [chunk_metadata, whole_table_chunks, chunk_prose_windows, chunk_sections, atomic_table_chunks, bitfield_table_detect, chunk_ids_unique, chunk_ids_repaired, chunk_upsert]
 
 _WORDS = f"list_filter(regexp_split_to_array(text, '{BLANK}+'), lambda x: x <> '')"
 _WINDOWS = "CASE WHEN len(w) <= 400 THEN [text] ELSE list_transform(range(0, CAST(ceil((len(w) - 400) / 350.0) AS BIGINT) + 1), lambda i: array_to_string(list_slice(w, i * 350 + 1, i * 350 + 400), ' ')) END"
@@ -57,6 +71,14 @@ _ITEMS = rf"""
     i AS (SELECT doc_id, seq, text, (seq - 1) // 5 + 1 AS page_no, CASE WHEN regexp_full_match(text, '\s*[A-Z][A-Z0-9]*-\d+\s*') THEN 'header' WHEN regexp_matches(text, '^[A-Z0-9_]+ = 0x') THEN 'table' WHEN trim(text) <> '' THEN 'text' END AS kind FROM l)"""
 
 SQL = {
+    "chunk_metadata": """WITH c AS (SELECT DISTINCT seq, doc_id, chunk_type, page_start, page_end, section_path, meta FROM chunks)
+        SELECT DISTINCT seq, array_to_string(list_sort(['doc_id=' || coalesce(doc_id, ''), 'chunk_type=' || coalesce(chunk_type, ''), 'page_start=' || coalesce(CAST(page_start AS VARCHAR), ''), 'page_end=' || coalesce(CAST(page_end AS VARCHAR), ''), 'section_path=' || coalesce(section_path, '')]
+            || coalesce(list_transform(map_entries(meta), lambda e: 'meta_' || e.key || '=' || coalesce(e.value, '')), [])), ';') AS metadata FROM c""",
+    "whole_table_chunks": """WITH r AS (SELECT DISTINCT reg_id, doc_id, name, width_bits, fields FROM registers),
+        f AS (SELECT reg_id, name, width_bits, unnest(range(1, len(fields) + 1)) AS no, unnest(fields) AS z FROM r),
+        l AS (SELECT reg_id, string_agg(CASE WHEN width_bits = 32 THEN 'Register: ' || name || ' | Field: ' || coalesce(z.name, '') || ' | Bits: ' || coalesce(z.bit_range, '') || ' | Access: ' || coalesce(z.access, '') ELSE coalesce(z.name, '') || ' | ' || coalesce(z.bit_range, '') || ' | ' || coalesce(z.access, '') END, chr(10) ORDER BY no) AS lines FROM f GROUP BY reg_id)
+        SELECT reg_id AS seq, CASE WHEN width_bits = 32 THEN name END AS register, CASE WHEN width_bits = 32 THEN 'Register: ' || name || chr(10) || lines ELSE concat_ws(chr(10), 'Field | Bits | Access', lines) END AS text
+        FROM r LEFT JOIN l USING (reg_id) WHERE coalesce(width_bits, 0) <> 32 OR (name IS NOT NULL AND lines IS NOT NULL)""",
     "chunk_prose_windows": f"""SELECT doc_id, window_no, text, CAST(len({_WORDS}) AS INT) AS words FROM (
         SELECT doc_id, unnest(x) AS text, CAST(unnest(range(0, len(x))) AS INT) AS window_no FROM (SELECT doc_id, {_WINDOWS} AS x FROM (SELECT doc_id, text, {_WORDS} AS w FROM documents)))""",
     "chunk_sections": f"""WITH {_ITEMS},

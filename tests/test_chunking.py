@@ -70,3 +70,12 @@ def test_upsert(spark):
 def test_register_chunks(spark):
     df = spark.createDataFrame([("d", "R", 2, "b"), ("d", "R", 1, None), ("d", None, 3, "x"), ("d", "R", 2, "b")], "doc string, reg string, o int, c string")
     assert rows(C.register_chunks(df, "doc", "reg", "o", [("Reg", "reg"), ("C", "c")]), "register", "text", "rows") == [("R", "Register: R\nReg: R | C: \nReg: R | C: b", 2)]
+
+
+def test_table_chunks(spark):
+    schema = "doc_id string, seq int, kind string, page_no int, table struct<header:array<string>,rows:array<array<string>>>"
+    data = [("d", 1, "table", 3, (["Register name", "Bits"], [["B", "1"], ["A", "2"], [None, "3"], ["B", None]])), ("d", 2, "table", 3, (["Pin", "Use"], [["1", "x"], ["2", None]])), ("d", 3, "table", 3, (["Register", "Access"], [["R", "rw"]])), ("d", 4, "text", 3, None), ("d", 5, "table", 3, None), ("d", 6, "table", 3, (["Pin"], []))]
+    df = spark.createDataFrame(data, schema)
+    got = {(r.seq, r.register): r.text for r in C.table_chunks(df).collect()}
+    assert got == {(1, "A"): "Register: A\nRegister name: A | Bits: 2", (1, "B"): "Register: B\nRegister name: B | Bits: 1\nRegister name: B | Bits: ", (2, None): "Pin | Use\n1 | x\n2 | ", (3, None): "Register | Access\nR | rw", (6, None): "Pin"}
+    assert C.table_rows(df).count() == 7

@@ -86,3 +86,8 @@ def test_fused(spark):
         raise AssertionError
     except ValueError:
         pass
+
+
+def test_hit(spark):
+    p = spark.createDataFrame([("a", 0.0, 0.0), ("b", 0.0, 0.0), ("c", 30.0, 0.0)], "node_id string, x double, y double")
+    assert rows(G.hit_test(p, 1.0, 1.0)) == [("a",)] and rows(G.hit_test(p, 15.9, 0.0)) == [("c",)] and rows(G.hit_test(p, 15.0, 50.0)) == [] and rows(G.hit_test(p, 10.0, 0.0, 4.0)) == []

@@ -62,3 +62,21 @@ def test_difference_hash(spark):
 def test_meta(spark, folder):
     r = spark.read.parquet(f"{folder}/images.parquet").select(I.structured_meta().alias("m")).first()
     assert len(r.m) == 12
+
+
+def test_pipeline(spark):
+    cand = "image_id int, doc_id string, ordinal int, width int, height int, content binary, perceptual_hash string"
+    data = [(1, "d", 1, 99, 99, bytearray(b"a"), "0" * 16), (2, "d", 2, 99, 99, bytearray(b"a"), "0" * 16), (3, "d", 3, 10, 99, bytearray(b"small"), "0" * 16), (4, "d", 4, 99, 99, bytearray(b"bad"), "f" * 16), (5, "d", 5, 99, 99, bytearray(b"text"), "a" * 16), (6, "d", 6, 99, 99, bytearray(b"near"), "5" * 15 + "4")]
+    cache = spark.createDataFrame([("cafe", "5" * 16, True, "chart", "t", "s", "", [], [], [], 0.9)], "image_sha256 string, perceptual_hash string, " + I.ANSWER)
+
+    def model(content):
+        if content == b"bad":
+            raise RuntimeError
+        return "just words" if content == b"text" else '{"should_index": false, "image_type": " Plot ", "title": "T"}'
+
+    found, cached = I.analysed(spark.createDataFrame(data, cand), cache, model)
+    got = {r.image_id: (r.image_type, r.should_index, r.title, r.confidence, r.from_cache) for r in found.collect()}
+    assert got == {1: ("plot", True, "T", 0.0, False), 2: ("plot", True, "T", 0.0, False), 5: ("other", True, "Document image", 0.5, False), 6: ("chart", True, "t", 0.9, True)}
+    assert cached.count() == 3
+    only, _ = I.analysed(spark.createDataFrame(data, cand), cache, None)
+    assert rows(only, "image_id") == [(6,)]
