@@ -144,21 +144,28 @@ def _groups_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    pictures = """i AS (SELECT DISTINCT image_id, lower(image_sha256) AS sha, CASE WHEN regexp_full_match(perceptual_hash, '[0-9a-fA-F]{16}') THEN CAST('0x' || perceptual_hash AS UBIGINT) END AS h FROM images),
+            p AS (SELECT DISTINCT a.image_id AS a, b.image_id AS b FROM i a JOIN i b ON a.image_id <> b.image_id WHERE (a.sha = b.sha AND a.sha <> '') OR bit_count(xor(a.h, b.h)) <= 3)"""
     line = r"upper(trim(regexp_replace(regexp_replace(line, '[\s\p{Z}]+', ' ', 'g'), '\p{Nd}+', '0', 'g')))"
     return {
         "p1_found": _groups_sql() + " SELECT DISTINCT kind, first_id, id AS copy_id FROM g WHERE id <> first_id",
         "p1_records": _groups_sql() + " SELECT DISTINCT kind, first_id, copies FROM g WHERE id = first_id",
-        "p2_found": """
-            WITH i AS (SELECT DISTINCT image_id, lower(image_sha256) AS sha,
-                              CASE WHEN regexp_full_match(perceptual_hash, '[0-9a-fA-F]{16}') THEN CAST('0x' || perceptual_hash AS UBIGINT) END AS h FROM images)
-            SELECT a.image_id AS image_id_a, b.image_id AS image_id_b FROM i a JOIN i b ON a.image_id < b.image_id
-            WHERE (a.sha = b.sha AND a.sha <> '') OR bit_count(xor(a.h, b.h)) <= 3""",
+        "p2_found": f"WITH {pictures} SELECT a AS image_id_a, b AS image_id_b FROM p WHERE a < b",
+        "p2_groups": f"""WITH RECURSIVE {pictures}, r AS (SELECT DISTINCT image_id AS v, image_id AS w FROM i WHERE image_id IS NOT NULL UNION SELECT r.v, p.b FROM r JOIN p ON p.a = r.w)
+            SELECT v AS image_id, min(w) AS group_id, (SELECT count(*) FROM p WHERE p.a = r.v) AS links FROM r GROUP BY v""",
         "p4_found": rf"""
             WITH c AS (SELECT DISTINCT seq, doc_id, text FROM chunks WHERE text IS NOT NULL AND doc_id IS NOT NULL),
             l AS (SELECT seq, doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM c),
             n AS (SELECT seq, doc_id, line_no, {line} AS line FROM l),
             k AS (SELECT doc_id, line FROM n WHERE line <> '' GROUP BY doc_id, line HAVING count(DISTINCT seq) >= 8)
             SELECT DISTINCT seq, line_no FROM n JOIN k USING (doc_id, line)""",
+        "p4_clean": rf"""
+            WITH c AS (SELECT DISTINCT seq, doc_id, text FROM chunks WHERE seq IS NOT NULL),
+            l AS (SELECT seq, doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM c WHERE text IS NOT NULL),
+            n AS (SELECT seq, doc_id, line_no, raw, {line.replace('line,', 'raw,', 1)} AS line FROM l),
+            k AS (SELECT doc_id, line, 1 AS gone FROM n WHERE line <> '' AND doc_id IS NOT NULL GROUP BY doc_id, line HAVING count(DISTINCT seq) >= 8),
+            t AS (SELECT seq, coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (gone IS NULL), '') AS text, count(gone) AS removed FROM n LEFT JOIN k USING (doc_id, line) GROUP BY seq)
+            SELECT c.seq, CASE WHEN c.text IS NOT NULL THEN coalesce(t.text, '') END AS text, coalesce(removed, 0) AS removed FROM c LEFT JOIN t USING (seq)""",
         "p6_found": r"""
             WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
             i AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),

@@ -211,11 +211,15 @@ class Mixture:
         source, weight, max_repeats, documents, tokens_available, documents_used, most_uses, tokens_used, share,
         target_tokens, shortfall (target tokens that its text at the cap cannot give).
         """
-        used = self.selection().groupBy("source").agg(F.count(F.lit(1)).alias("documents_used"), F.max("uses").alias("most_uses"), F.sum(F.col("uses") * F.col("tokens")).alias("tokens_used"))
-        rows = [(s, float(w), int(c), int(d), int(t), float(w * self.total), float(max(0.0, w * self.total - c * t))) for s, w, c, d, t in zip(self.sources, self.weight, self.cap, self.documents, self.tokens, strict=True)]
-        plan = self.spark.createDataFrame(rows, "source string, weight double, max_repeats int, documents bigint, tokens_available bigint, target_tokens double, shortfall double")
-        both = plan.join(used, plan["source"].eqNullSafe(used["source"]), "full")
-        z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
-        out = both.select(plan["source"], F.coalesce("weight", F.lit(0.0)).alias("weight"), "max_repeats", z("documents"), z("tokens_available"), z("documents_used"), z("most_uses"), z("tokens_used"), F.coalesce("target_tokens", F.lit(0.0)).alias("target_tokens"), F.coalesce("shortfall", F.lit(0.0)).alias("shortfall"))
-        total = used.agg(F.sum("tokens_used").alias("all_used"))
-        return out.join(F.broadcast(total), F.lit(True), "left").withColumn("share", F.coalesce(F.col("tokens_used") / F.col("all_used"), F.lit(0.0))).drop("all_used")
+        used = self.selection().groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max("uses").alias("most"), F.sum(F.col("uses") * F.col("tokens")).alias("t"))
+        by_source = {r.source: r for r in used.collect()}  # one row for each listed source, and one for none
+        total = sum(r.t for r in by_source.values())
+        plan = dict(zip(self.sources, zip(self.weight, self.cap, self.documents, self.tokens, strict=True), strict=True))
+        rows = []
+        for name in [*self.sources, *[s for s in by_source if s is None]]:
+            weight, cap, documents, tokens = plan.get(name, (0.0, None, 0, 0))
+            r = by_source.get(name)
+            n, most, t = (r.n, r.most, r.t) if r else (0, 0, 0)
+            target = float(weight * self.total)
+            rows.append((name, float(weight), None if cap is None else int(cap), int(documents), int(tokens), n, most, t, target, max(0.0, target - float((cap or 0) * tokens)), t / total if total else 0.0))
+        return self.spark.createDataFrame(rows, "source string, weight double, max_repeats int, documents bigint, tokens_available bigint, documents_used bigint, most_uses int, tokens_used bigint, target_tokens double, shortfall double, share double")
