@@ -75,7 +75,12 @@ def collapse(df: DataFrame, record_id: str, columns: list[str], **how) -> DataFr
     a group of any size is then met by broadcast of its representative, never gathered.
     """
     rows = cut(digested(df.filter(F.col(f"`{record_id}`").isNotNull()), record_id, columns, **how).distinct())
-    groups = cut(rows.groupBy("digest", "shape").agg(F.min("record_id").alias("first_id"), F.count(F.lit(1)).alias("copies")))
-    many = attach(rows, groups.filter("copies > 1"), ["digest", "shape"], "copies")
-    single = groups.filter("copies = 1").select(F.col("first_id").alias("record_id"), "first_id", "copies")
+    groups = rows.groupBy("digest", "shape").agg(F.min("record_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    small = cut(groups.drop("shape"))
+    total, digests = small.agg(F.count(F.lit(1)), F.countDistinct("digest")).first()
+    # structures are long, so records meet their group by digest; only if two structures share one is the structure compared again
+    keys = ["digest"] if total == digests else ["digest", "shape"]
+    known = small if total == digests else cut(groups)
+    many = attach(rows.select("record_id", *keys), known.filter("copies > 1"), keys, "copies")
+    single = known.filter("copies = 1").select(F.col("first_id").alias("record_id"), "first_id", "copies")
     return many.select("record_id", "first_id", "copies").unionByName(single)

@@ -60,3 +60,12 @@ def test_maps_and_ordered_arrays(spark):
 def test_long_text(spark):
     long = "word " * 200_000
     assert groups(spark, (1, long), (2, long.upper()), (3, long + "x"), schema="id int, t string", columns=["t"]) == [(1, 1, 2), (2, 1, 2), (3, 3, 1)]
+
+
+def test_digest_collision(spark, monkeypatch):
+    """Two structures with one digest stay apart."""
+    from foliant.llm import records
+
+    real = records.digested
+    monkeypatch.setattr(records, "digested", lambda *a, **k: real(*a, **k).withColumn("digest", F.lit(b"same")))
+    assert groups(spark, (1, "a"), (2, "A"), (3, "b"), (4, "c"), (5, "C!"), schema="id int, t string", columns=["t"]) == [(1, 1, 2), (2, 1, 2), (3, 3, 1), (4, 4, 2), (5, 4, 2)]
