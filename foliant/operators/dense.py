@@ -73,14 +73,31 @@ def nearest(vectors: DataFrame, item: str, vector: str, queries: DataFrame, quer
     return top_k(found, k)
 
 
+def _probes_for(m: np.ndarray, centres: np.ndarray, recall: float, k: int = 8, tried: int = 1000) -> int:
+    """The least number of lists that hold ``recall`` of the k nearest others of the first ``tried`` rows of ``m``, copies left out."""
+    m = m[np.sort(np.unique(m, axis=0, return_index=True)[1])]
+    home = (m @ centres.T).argmax(1)
+    needed = []
+    for at in range(0, min(tried, len(m)), 100):
+        q = m[at : min(at + 100, tried)]
+        s = q @ m.T
+        s[np.arange(len(q)), at + np.arange(len(q))] = -np.inf
+        near = np.argsort(-s, axis=1)[:, : min(k, len(m) - 1)]
+        place = np.argsort(np.argsort(-(q @ centres.T), axis=1), axis=1)
+        needed.append(np.take_along_axis(place, home[near], 1).ravel())
+    places = np.sort(np.concatenate(needed))
+    return int(places[int(np.ceil(recall * len(places))) - 1]) + 1 if len(places) else 1
+
+
 class InvertedFile:
     """Approximate search: every vector is listed under its nearest of ``lists`` centres; a query looks into ``probes`` of them.
 
     Centres are fitted by k-means on at most ``sample`` vectors chosen by a hash of the id; every row is listed. No list has a
-    cap: a list is scanned by as many tasks as its rows are spread over.
+    cap: a list is scanned by as many tasks as its rows are spread over. How many lists hold ``recall`` of the true neighbours
+    is measured on the same vectors; a search looks into at least that many.
     """
 
-    def __init__(self, vectors: DataFrame, item: str, vector: str, lists: int = 64, sample: int = 20_000, seed: int = 5):
+    def __init__(self, vectors: DataFrame, item: str, vector: str, lists: int = 64, sample: int = 20_000, seed: int = 5, recall: float = 0.95):
         self.vectors = vectors.select(F.col(f"`{item}`").cast("bigint").alias("item"), F.col(f"`{vector}`").alias("v")).dropna()
         rows = self.vectors.orderBy(F.xxhash64("item"), "item").limit(sample).collect()
         m, _ = _matrix(pa.array([r.v for r in rows], pa.list_(pa.float64())))
@@ -91,6 +108,7 @@ class InvertedFile:
             centres = np.stack([m[near == i].sum(0) if (near == i).any() else c for i, c in enumerate(centres)])
             centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
         self.centres = centres
+        self.least_probes = _probes_for(m, centres, recall) if len(m) else 0
 
     def listed(self) -> DataFrame:
         """(list, item, v): the index table; partition it by ``list`` when it is written."""
@@ -105,8 +123,9 @@ class InvertedFile:
         return self.vectors.mapInArrow(run, "list int, item bigint, v array<double>")
 
     def search(self, queries: DataFrame, query: str, query_vector: str, k: int = 8, probes: int = 16) -> DataFrame:
-        """(query_id, item, score, rank) from the lists of each query's nearest centres."""
+        """(query_id, item, score, rank) from the lists of each query's nearest centres: ``probes``, or more where recall needs it."""
         centres = self.centres
+        probes = max(probes, self.least_probes)
         spark = self.vectors.sparkSession
         shared = spark.sparkContext.broadcast(centres)
 

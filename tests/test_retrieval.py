@@ -1,5 +1,6 @@
 import math
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 
 from foliant.operators import dense, fusion
 from foliant.operators.lexical import LexicalIndex
+from foliant.queries import retrieval
 from tests.conftest import rows
 
 TINY = [(1, "a b"), (2, "a c"), (3, "a")]
@@ -101,3 +103,21 @@ def test_index_recall(spark, folder):
     assert index.listed().count() == e.count()
     found = {r[:2] for r in rows(index.search(q, "vec_id", "embedding", probes=16), "query_id", "item")}
     assert len(exact & found) / len(exact) >= 0.9
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_index_recall_as_queried(spark, folder, size):
+    data = f"{Path(folder).parent}/{size}"
+    got = {r[:2] for r in rows(retrieval.dense_ann_topk(spark, data), "query_id", "vec_id")}
+    exact = {r[:2] for r in rows(retrieval.dense_topk(spark, data), "query_id", "vec_id")}
+    assert len(exact & got) / len(exact) >= 0.92
+
+
+def test_index_recall_of_any_start(spark, folder):
+    e = spark.read.parquet(f"{Path(folder).parent}/sf0.1/embeddings.parquet").cache()
+    q = e.filter("vec_id % 20 = 0")
+    exact = {r[:2] for r in rows(dense.nearest(e, "vec_id", "embedding", q, "vec_id", "embedding"), "query_id", "item")}
+    for seed in (1, 2, 3):
+        got = {r[:2] for r in rows(dense.InvertedFile(e, "vec_id", "embedding", seed=seed).search(q, "vec_id", "embedding"), "query_id", "item")}
+        assert len(exact & got) / len(exact) >= 0.92
+    e.unpersist()
