@@ -16,23 +16,40 @@ from foliant.plans.skew import union_all
 BLOCK = 2048
 
 
-def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of equal length as unit vectors, and which rows they are; null, empty and zero vectors are left out."""
+def _matrices(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length, the rows of that length as unit vectors, and which rows they are; null, empty and zero vectors are left out."""
     lists = column.to_pylist()
-    size = max((len(v) for v in lists if v), default=0)
-    keep = np.array([i for i, v in enumerate(lists) if v and len(v) == size and None not in v], dtype=int)
-    m = np.array([lists[i] for i in keep], dtype=float).reshape(len(keep), size)
-    length = np.linalg.norm(m, axis=1)
-    ok = length > 0
-    return m[ok] / length[ok, None], keep[ok]
+    places: dict[int, list[int]] = {}
+    for i, v in enumerate(lists):
+        if v and None not in v:
+            places.setdefault(len(v), []).append(i)
+    out = {}
+    for size, at in places.items():
+        m = np.array([lists[i] for i in at], dtype=float)
+        length = np.linalg.norm(m, axis=1)
+        if (ok := length > 0).any():
+            out[size] = m[ok] / length[ok, None], np.array(at)[ok]
+    return out
+
+
+def _best(items: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each item once, with the highest of its scores; ``s`` has a column for each of ``items``."""
+    order = np.argsort(items, kind="stable")
+    once, starts = np.unique(items[order], return_index=True)
+    return (items, s) if len(once) == len(items) else (once, np.maximum.reduceat(s[:, order], starts, axis=1))
+
+
+def _top_items(found: DataFrame, k: int) -> DataFrame:
+    """top_k with each item once, at its highest score."""
+    return top_k(found.groupBy("query_id", "item").agg(F.max("score").alias("score")), k)
 
 
 def nearest(vectors: DataFrame, item: str, vector: str, queries: DataFrame, query: str, query_vector: str, k: int = 8) -> DataFrame:
-    """(query_id, item, score, rank): each query's k rows of highest cosine, rounded to 6 digits, ties by id. Exact.
+    """(query_id, item, score, rank): each query's k items of highest cosine, rounded to 6 digits, ties by id. Exact.
 
-    Vectors are scanned once for each block of queries: a task multiplies its batch with the block and keeps k rows of
+    Vectors are scanned once for each block of queries of one length: a task multiplies its batch with the block and keeps k items of
     each query, so only these are shuffled. A filter on ``vectors`` acts before the ranking. Null, empty and zero vectors,
-    and those of another length than the query's, are near nothing; a row given twice counts once.
+    and those of another length than the query's, are near nothing; an item given more than once counts once, at its highest score.
     """
     spark = vectors.sparkSession
     base = vectors.select(F.col(f"`{item}`").cast("bigint").alias("item"), F.col(f"`{vector}`").alias("v")).dropna()
@@ -44,33 +61,33 @@ def nearest(vectors: DataFrame, item: str, vector: str, queries: DataFrame, quer
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q_ids, q = shared.value
             for b in batches:
-                m, rows = _matrix(b.column(1))
-                if not len(m) or m.shape[1] != q.shape[1]:
+                same = _matrices(b.column(1)).get(q.shape[1])
+                if same is None:
                     continue
-                items = b.column(0).to_numpy()[rows]
-                s = np.round(q @ m.T, 6) + 0.0
-                order = np.stack([np.lexsort((items, -line))[: 2 * k] for line in s])
+                m, rows = same
+                items, s = _best(b.column(0).to_numpy()[rows], np.round(q @ m.T, 6) + 0.0)
+                order = np.stack([np.lexsort((items, -line))[:k] for line in s])
                 yield pa.record_batch([pa.array(np.repeat(q_ids, order.shape[1])), pa.array(items[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], names=["query_id", "item", "score"])
 
         return base.mapInArrow(run, schema)
 
-    parts, ids, lines = [], [], []
+    parts: list[DataFrame] = []
+    blocks: dict[int, tuple[list[int], list[list[float]]]] = {}
 
-    def flush() -> None:
-        if ids:
-            m, rows = _matrix(pa.array(lines))
+    def flush(size: int) -> None:
+        ids, lines = blocks.pop(size)
+        for m, rows in _matrices(pa.array(lines)).values():
             parts.append(passes(np.array(ids, dtype=np.int64)[rows], m))
-            ids.clear()
-            lines.clear()
 
     for r in queries.select(F.col(f"`{query}`").cast("bigint").alias("q"), F.col(f"`{query_vector}`").alias("v")).dropna().dropDuplicates(["q"]).orderBy("q").toLocalIterator():
+        ids, lines = blocks.setdefault(len(r.v), ([], []))
         ids.append(r.q)
         lines.append(r.v)
         if len(ids) >= BLOCK:
-            flush()
-    flush()
-    found = union_all(parts).distinct() if parts else spark.createDataFrame([], schema)
-    return top_k(found, k)
+            flush(len(r.v))
+    for size in list(blocks):
+        flush(size)
+    return _top_items(union_all(parts), k) if parts else top_k(spark.createDataFrame([], schema), k)
 
 
 def _probes_for(m: np.ndarray, centres: np.ndarray, recall: float, k: int = 8, tried: int = 1000) -> int:
@@ -92,50 +109,66 @@ def _probes_for(m: np.ndarray, centres: np.ndarray, recall: float, k: int = 8, t
 class InvertedFile:
     """Approximate search: every vector is listed under its nearest of ``lists`` centres; a query looks into ``probes`` of them.
 
-    Centres are fitted by k-means on at most ``sample`` vectors chosen by a hash of the id; every row is listed. No list has a
-    cap: a list is scanned by as many tasks as its rows are spread over. How many lists hold ``recall`` of the true neighbours
-    is measured on the same vectors; a search looks into at least that many.
+    Vectors of each length have centres and lists of their own. Centres are fitted by k-means on at most ``sample`` vectors chosen
+    by a hash of the id; every row is listed. No list has a cap: a list is scanned by as many tasks as its rows are spread over.
+    How many lists hold ``recall`` of the true neighbours is measured on the same vectors; a search looks into at least that many.
     """
 
     def __init__(self, vectors: DataFrame, item: str, vector: str, lists: int = 64, sample: int = 20_000, seed: int = 5, recall: float = 0.95):
         self.vectors = vectors.select(F.col(f"`{item}`").cast("bigint").alias("item"), F.col(f"`{vector}`").alias("v")).dropna()
-        rows = self.vectors.orderBy(F.xxhash64("item"), "item").limit(sample).collect()
-        m, _ = _matrix(pa.array([r.v for r in rows], pa.list_(pa.float64())))
-        rng = np.random.default_rng(seed)
-        centres = m[rng.choice(len(m), min(lists, len(m)), replace=False)] if len(m) else np.zeros((0, 1))
-        for _ in range(15 if len(m) else 0):
+        self.centres: dict[int, np.ndarray] = {}
+        self.least_probes: dict[int, int] = {}
+        self.firsts: dict[int, int] = {}  # the number of the first list of each length
+        sizes = sorted(r.n for r in self.vectors.select(F.size("v").alias("n")).filter("n > 0").distinct().collect())
+        # null and zero vectors are left out before the sample is drawn, so that they can't fill it
+        usable = self.vectors.filter(F.forall("v", lambda x: x.isNotNull()) & F.exists("v", lambda x: x != 0))
+        for size in sizes:
+            rows = usable.filter(F.size("v") == size).orderBy(F.xxhash64("item"), "item").limit(sample).collect()
+            for m, _ in _matrices(pa.array([r.v for r in rows], pa.list_(pa.float64()))).values():
+                self.firsts[size] = len(self.firsts) * lists
+                self.centres[size] = centres = self._fit(m, lists, np.random.default_rng(seed))
+                self.least_probes[size] = _probes_for(m, centres, recall)
+
+    @staticmethod
+    def _fit(m: np.ndarray, lists: int, rng: np.random.Generator) -> np.ndarray:
+        centres = m[rng.choice(len(m), min(lists, len(m)), replace=False)]
+        for _ in range(15):
             near = (m @ centres.T).argmax(1)
             centres = np.stack([m[near == i].sum(0) if (near == i).any() else c for i, c in enumerate(centres)])
             centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
-        self.centres = centres
-        self.least_probes = _probes_for(m, centres, recall) if len(m) else 0
+        return centres
 
     def listed(self) -> DataFrame:
         """(list, item, v): the index table; partition it by ``list`` when it is written."""
-        shared = self.vectors.sparkSession.sparkContext.broadcast(self.centres)
+        shared = self.vectors.sparkSession.sparkContext.broadcast((self.centres, self.firsts))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            centres, firsts = shared.value
             for b in batches:
-                m, rows = _matrix(b.column(1))
-                if len(m) and len(shared.value) and m.shape[1] == shared.value.shape[1]:
-                    yield pa.record_batch([pa.array((m @ shared.value.T).argmax(1).astype(np.int32)), b.column(0).take(pa.array(rows)), pa.array(list(m), pa.list_(pa.float64()))], names=["list", "item", "v"])
+                for size, (m, rows) in _matrices(b.column(1)).items():
+                    if size in centres:
+                        near = firsts[size] + (m @ centres[size].T).argmax(1)
+                        yield pa.record_batch([pa.array(near.astype(np.int32)), b.column(0).take(pa.array(rows)), pa.array(list(m), pa.list_(pa.float64()))], names=["list", "item", "v"])
 
         return self.vectors.mapInArrow(run, "list int, item bigint, v array<double>")
 
     def search(self, queries: DataFrame, query: str, query_vector: str, k: int = 8, probes: int = 16) -> DataFrame:
-        """(query_id, item, score, rank) from the lists of each query's nearest centres: ``probes``, or more where recall needs it."""
-        centres = self.centres
-        probes = max(probes, self.least_probes)
+        """(query_id, item, score, rank) from the lists of each query's nearest centres: ``probes``, or more where recall needs it.
+
+        An item given more than once counts once, at its highest score.
+        """
         spark = self.vectors.sparkSession
-        shared = spark.sparkContext.broadcast(centres)
+        shared = spark.sparkContext.broadcast((self.centres, self.firsts, self.least_probes))
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            centres, firsts, least = shared.value
             for b in batches:
-                m, rows = _matrix(b.column(1))
-                if len(m) and len(shared.value) and m.shape[1] == shared.value.shape[1]:
-                    near = np.argsort(-(m @ shared.value.T), axis=1)[:, :probes]
-                    yield pa.record_batch([pa.array(near.ravel().astype(np.int32)), b.column(0).take(pa.array(np.repeat(rows, near.shape[1]))), pa.array([m[i] for i in np.repeat(np.arange(len(m)), near.shape[1])], pa.list_(pa.float64()))], names=["list", "query_id", "q"])
+                for size, (m, rows) in _matrices(b.column(1)).items():
+                    if size in centres:
+                        near = np.argsort(-(m @ centres[size].T), axis=1)[:, : max(probes, least[size])]
+                        lists = (firsts[size] + near).ravel().astype(np.int32)
+                        yield pa.record_batch([pa.array(lists), b.column(0).take(pa.array(np.repeat(rows, near.shape[1]))), pa.array([m[i] for i in np.repeat(np.arange(len(m)), near.shape[1])], pa.list_(pa.float64()))], names=["list", "query_id", "q"])
 
         q = queries.select(F.col(f"`{query}`").cast("bigint").alias("query_id"), F.col(f"`{query_vector}`").alias("v")).dropna().dropDuplicates(["query_id"]).mapInArrow(probe, "list int, query_id bigint, q array<double>")
         dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-        return top_k(self.listed().join(q, "list").select("query_id", "item", F.round(dot, 6).alias("score")), k)
+        return _top_items(self.listed().join(q, "list").select("query_id", "item", F.round(dot, 6).alias("score")), k)

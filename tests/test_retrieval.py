@@ -121,3 +121,19 @@ def test_index_recall_of_any_start(spark, folder):
         got = {r[:2] for r in rows(dense.InvertedFile(e, "vec_id", "embedding", seed=seed).search(q, "vec_id", "embedding"), "query_id", "item")}
         assert len(exact & got) / len(exact) >= 0.92
     e.unpersist()
+
+
+def test_other_lengths_cost_nothing(spark):
+    df = vectors(spark, [[1.0, 0.0], [0.6, 0.8], [1.0, 0.0, 0.0], [0.0, 1.0]]).coalesce(1)
+    want = [(0, 0, 1), (0, 1, 2), (0, 3, 3), (1, 0, 3), (1, 1, 1), (1, 3, 2), (2, 2, 1), (3, 0, 3), (3, 1, 2), (3, 3, 1)]
+    assert rows(dense.nearest(df, "id", "v", df, "id", "v"), "query_id", "item", "rank") == want
+    assert rows(dense.InvertedFile(df, "id", "v", lists=2).search(df, "id", "v"), "query_id", "item", "rank") == want
+
+
+def test_copies_push_nothing_out(spark):
+    m = [[1.0, i / 10] for i in range(6)]
+    df = spark.createDataFrame([(0, m[0])] * 30 + list(enumerate(m)), "id bigint, v array<float>").coalesce(1)
+    want = [(0, i, i + 1) for i in range(4)]
+    q = df.filter("id = 0")
+    assert rows(dense.nearest(df, "id", "v", q, "id", "v", k=4), "query_id", "item", "rank") == want
+    assert rows(dense.InvertedFile(df, "id", "v", lists=2).search(q, "id", "v", k=4), "query_id", "item", "rank") == want
