@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.text import norm, safe_int, strip, whole_term, word_count
 from foliant.operators.chunking import WINDOW
+from foliant.operators.graph import graph_terms
 from foliant.plans.skew import union_all
 
 # What a chunk must say, the chunk types there are, and how far over its window prose may be.
@@ -81,6 +82,11 @@ def ordered_terms(given: list[str], graph: list[str]) -> list[str]:
     return list(first.values())
 
 
+def terms_with_graph(given: list[str], nodes: DataFrame, most: int = 40) -> list[str]:
+    """The given terms, then the first ``most`` of the graph's own names, the first spelling of each."""
+    return ordered_terms(given, [r.term for r in graph_terms(nodes, most).orderBy("node_id").collect()])
+
+
 def alignments(chunks: DataFrame, terms: list[str]) -> DataFrame:
     """(term, seq, chunk_id, doc_id, page_start, page_end, chunk_type): chunks in which a term stands as a whole, in any case.
 

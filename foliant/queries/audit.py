@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foliant.functions.text import BLANK
 from foliant.operators import audit as A
 from foliant.operators import graph as G
-from foliant.queries.graph import GRAPH_SQL, entities
+from foliant.queries.graph import GRAPH_SQL, GRAPH_TERMS_SQL, entities
 from foliant.sources.tables import table
 
 #: Terms looked for in graph and text: words, and ones with other characters.
@@ -73,6 +73,12 @@ def audit_term_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("term", "matches", F.array_join("examples", ",").alias("examples"))
 
 
+def audit_graph_term_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """audit_term_alignment over the given terms and the graph's own."""
+    rows = A.aligned_terms(_chunks(spark, folder), A.terms_with_graph(TERMS, entities(spark, folder).nodes))
+    return rows.select("term", "matches", F.array_join("examples", ",").alias("examples"))
+
+
 def audit_issues(spark: SparkSession, folder: str) -> DataFrame:
     return A.issues(table(spark, folder, "chunks"), _fresh(spark, folder)).select("severity", "category", "check", "n")
 
@@ -81,7 +87,7 @@ def audit_summary(spark: SparkSession, folder: str) -> DataFrame:
     return A.severities(A.issues(table(spark, folder, "chunks"), _fresh(spark, folder)))
 
 
-QUERIES = [audit_type_counts, audit_doc_counts, audit_duplicates, audit_missing_metadata, audit_empty, audit_invalid_pages, audit_invalid_types, audit_oversized, audit_stale_missing, audit_term_checks, audit_term_alignment, audit_issues, audit_summary]
+QUERIES = [audit_type_counts, audit_doc_counts, audit_duplicates, audit_missing_metadata, audit_empty, audit_invalid_pages, audit_invalid_types, audit_oversized, audit_stale_missing, audit_term_checks, audit_term_alignment, audit_graph_term_alignment, audit_issues, audit_summary]
 
 _ENDS = f"regexp_replace(text, '^{BLANK}+|{BLANK}+$', '', 'g')"
 _C = f"""
@@ -125,3 +131,9 @@ SQL = {k: f"WITH {_C} {v}" for k, v in {
 SQL["audit_term_alignment"] = rf"""WITH {_C}, {_TERM_TABLE},
     h AS (SELECT term, seq, chunk_id FROM c JOIN k ON regexp_matches(text, '(?i)(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(term) || '([^\p{{L}}\p{{N}}_]|$)'))
     SELECT k.term, count(h.seq) AS matches, coalesce(array_to_string(list_slice(list(chunk_id ORDER BY seq) FILTER (h.seq IS NOT NULL), 1, 5), ','), '') AS examples FROM k LEFT JOIN h USING (term) GROUP BY k.term"""
+_ALL_TERMS = f"""gt AS (WITH {GRAPH_SQL}, {GRAPH_TERMS_SQL} SELECT f[2] AS term, f[1] AS node_id FROM t),
+    gv AS (SELECT unnest([{', '.join(f"'{t}'" for t in TERMS)}]) AS term, unnest(range({len(TERMS)})) AS pos),
+    ak AS (SELECT arg_min(term, pos) AS term FROM (SELECT * FROM gv UNION ALL SELECT term, {len(TERMS)} + row_number() OVER (ORDER BY node_id) FROM gt) GROUP BY lower(trim(term)))"""
+_ALIGNED = r"""ah AS (SELECT term, seq, chunk_id FROM c JOIN ak ON regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])' || regexp_escape(term) || '([^\p{L}\p{N}_]|$)'))"""
+SQL["audit_graph_term_alignment"] = f"""WITH {_C}, {_ALL_TERMS}, {_ALIGNED}
+    SELECT ak.term, count(ah.seq) AS matches, coalesce(array_to_string(list_slice(list(chunk_id ORDER BY seq) FILTER (ah.seq IS NOT NULL), 1, 5), ','), '') AS examples FROM ak LEFT JOIN ah USING (term) GROUP BY ak.term"""

@@ -89,6 +89,8 @@ _GROUP = "coalesce(nullif(class, ''), nullif(label, ''), 'Unknown')"
 _NAMED = f"contains(lower(coalesce(name, node_id)), '{NEEDLE}')"
 _TERMS = f"t AS (SELECT lower({_strip('name')}) AS key, min((node_id, {_strip('name')})) AS f FROM n WHERE length({_strip('name')}) BETWEEN 2 AND 80 GROUP BY ALL ORDER BY f LIMIT 40)"
 
+GRAPH_TERMS_SQL = _TERMS
+
 _SELECT = {
     "ontology_flatten": "SELECT * FROM n",
     "ontology_edges": "SELECT * FROM e",

@@ -3,11 +3,17 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from foliant import catalogue
 from foliant.functions.text import whole_term
 from foliant.operators import audit as A
 from foliant.sources.sinks import report_lines
 from tests.conftest import rows
 
+
+def graph_query(spark, folder, name):
+    return catalogue.queries()[name](spark, folder)
+
+
 CHUNK = "seq int, chunk_id string, doc_id string, chunk_type string, text string, page_start int, page_end int, section_path string"
 
 
@@ -59,3 +65,13 @@ def test_terms_in_order():
 def test_counts_take_null(spark):
     assert rows(A.counts(spark.createDataFrame([(None,), ("x",), (None,)], "t string"), "t")) == sorted([(None, 2), ("x", 1)], key=repr)
     assert F is not None
+
+
+def test_graph_terms_are_aligned(spark, folder):
+    c = chunks(spark, ("d", "structural", "the Watchdog and ADC_2", 1, 1, "s"))
+    nodes = spark.createDataFrame([("n1", "ADC_2"), ("n2", "WATCHDOG"), ("n3", "GTM"), ("n4", None)], "node_id string, name string")
+    terms = A.terms_with_graph(["watchdog"], nodes)
+    assert terms == ["watchdog", "ADC_2", "GTM"]
+    assert rows(A.aligned_terms(c, terms), "term", "matches") == [("ADC_2", 1), ("GTM", 0), ("watchdog", 1)]
+    named = {r.term.lower() for r in graph_query(spark, folder, "graph_terms").collect()}
+    assert named and named <= {r.term.lower() for r in graph_query(spark, folder, "audit_graph_term_alignment").collect()}
