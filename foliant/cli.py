@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from foliant.operators import audit
 from foliant.operators.lexical import LexicalIndex
+from foliant.queries.audit import TERMS, full_issues
 from foliant.queries.graph import entities
 from foliant.sources import sinks
 from foliant.sources.tables import table
@@ -18,9 +19,11 @@ from foliant.sources.tables import table
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="foliant")
     sub = p.add_subparsers(dest="command", required=True)
-    a = sub.add_parser("audit", help="check the chunks of a data folder; exit 1 on any error")
+    a = sub.add_parser("audit", help="check chunks and graph of a data folder; exit 1 on any error")
     a.add_argument("folder")
     a.add_argument("--json", help="also write the report to this file")
+    a.add_argument("--fresh", help="a table of chunks built anew (doc_id, chunk_id); without it, stale and missing chunks aren't looked for")
+    a.add_argument("--live-search", action="store_true", help="also search for the expected terms, by words")
     g = sub.add_parser("graph", help="save the entity graph, and a page to look at it")
     g.add_argument("folder")
     g.add_argument("--output", required=True)
@@ -35,7 +38,12 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     if args.command == "audit":
-        issues = audit.issues(table(spark, args.folder, "chunks"))
+        issues = full_issues(spark, args.folder, spark.read.parquet(args.fresh) if args.fresh else None)
+        if args.live_search:
+            chunks = table(spark, args.folder, "chunks")
+            issues = issues.unionByName(audit.search_issues(spark, TERMS, lambda q: LexicalIndex(chunks, "seq", "text").search(q, "q", "t", 3)))
+        if not args.fresh:
+            print("Stale and missing chunks: not checked (no --fresh).")
         print("\n".join(sinks.report_lines(issues)))
         failed = sinks.save_report(issues, args.json) if args.json else audit.severities(issues).first().failed
         return int(failed)

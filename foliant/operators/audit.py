@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import norm, safe_int, strip, whole_term, word_count
 from foliant.operators.chunking import WINDOW
-from foliant.operators.graph import graph_terms
+from foliant.operators.graph import graph_terms, isolates, term_hits
 from foliant.plans.skew import union_all
 
 # What a chunk must say, the chunk types there are, and how far over its window prose may be.
@@ -122,7 +123,7 @@ CHECKS = [
 
 
 def issues(chunks: DataFrame, fresh: DataFrame | None = None) -> DataFrame:
-    """(severity, category, check, message, n) of every chunk check that finds something, and of an empty store.
+    """(severity, category, check, message, n) of every chunk check that finds something, and of an empty store. ``graph_issues`` has the others.
 
     All row checks are one aggregate over one scan.
     """
@@ -144,6 +145,53 @@ def issues(chunks: DataFrame, fresh: DataFrame | None = None) -> DataFrame:
     return union_all(parts).filter("n > 0")
 
 
+def _issue(spark: SparkSession, severity: str, category: str, check: str, message: str, n: int) -> DataFrame:
+    return spark.createDataFrame([(severity, category, check, message, n)], "severity string, category string, check string, message string, n bigint")
+
+
+def graph_issues(chunks: DataFrame, nodes: DataFrame | None, edges: DataFrame | None, terms: list[str], most: int = 40) -> DataFrame:
+    """(severity, category, check, message, n) of every check of the graph, and of its terms against the text, that finds something.
+
+    Without a graph (null) only that is an issue. ``terms`` must be in the graph; they and the graph's first ``most`` names, in the text.
+    """
+    spark = chunks.sparkSession
+    topology = lambda sev, name, text, n: F.struct(F.lit(sev).alias("severity"), F.lit("graph_topology").alias("category"), F.lit(name).alias("check"), F.lit(text).alias("message"), n.cast("bigint").alias("n"))
+    if nodes is None or edges is None:
+        return _issue(spark, "ERROR", "graph_topology", "graph_missing", "There is no graph.", 1)
+    size = nodes.agg(F.countDistinct("node_id").alias("nodes")).crossJoin(edges.agg(F.count(F.lit(1)).alias("edges"))).crossJoin(isolates(nodes, edges).agg(F.countDistinct("node_id").alias("isolated")))
+    shape = [
+        topology("ERROR", "no_nodes", "The graph has no nodes.", F.when(F.col("nodes") == 0, 1).otherwise(0)),
+        topology("ERROR", "no_edges", "The graph has nodes but no edges.", F.when((F.col("nodes") > 1) & (F.col("edges") == 0), 1).otherwise(0)),
+        topology("WARN", "isolated_nodes", "Nodes have no edge.", F.col("isolated")),
+    ]
+    asked = ordered_terms(terms, [])
+    hits = term_hits(nodes, edges, asked).agg(F.count_if(F.expr("hits = 0")).alias("absent"), F.count_if(F.expr("hits > 0 AND max_degree = 0")).alias("only"))
+    named = [
+        topology("WARN", "term_absent", "Terms are in no node's name.", F.col("absent")),
+        topology("WARN", "term_only_isolated", "Terms are only in names of nodes without edges.", F.col("only")),
+    ]
+    text = aligned_terms(chunks_once(chunks), terms_with_graph(terms, nodes, most)).agg(F.count_if(F.expr("matches = 0")).alias("n"))
+    parts = [size.select(F.explode(F.array(*shape)).alias("i")).select("i.*"), text.select(F.lit("WARN").alias("severity"), F.lit("hybrid_alignment").alias("category"), F.lit("terms_not_in_chunks").alias("check"), F.lit("Terms are in no chunk's text.").alias("message"), "n")]
+    if asked:
+        parts.append(hits.select(F.explode(F.array(*named)).alias("i")).select("i.*"))
+    return union_all(parts).filter("n > 0")
+
+
+def search_issues(spark: SparkSession, terms: list[str], search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Terms for which ``search(queries(q, t))``, giving hits with a query_id, finds nothing; a search that fails is a warning too."""
+    asked = list(enumerate(ordered_terms(terms, [])))
+    try:
+        found = {r.query_id for r in search(spark.createDataFrame(asked, "q bigint, t string")).select("query_id").distinct().collect()}
+    except Exception as e:  # noqa: BLE001 - whatever keeps the search from running is what the audit reports
+        return _issue(spark, "WARN", "live_search", "search_failed", f"The search could not run: {str(e)[:200]}", 1)
+    return _issue(spark, "WARN", "live_search", "search_empty", "Terms are found by no search.", sum(i not in found for i, _ in asked)).filter("n > 0")
+
+
+def fresh_counts(fresh: DataFrame) -> DataFrame:
+    """(doc_id, chunk_type, n): freshly built chunks of each document by type."""
+    return fresh.select("doc_id", "chunk_id", "chunk_type").distinct().groupBy("doc_id", "chunk_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 def severities(issue_rows: DataFrame) -> DataFrame:
     """One row: errors, warnings, failed (any error)."""
     return issue_rows.agg(F.count_if(F.expr("severity = 'ERROR'")).alias("errors"), F.count_if(F.expr("severity = 'WARN'")).alias("warnings"), F.coalesce(F.bool_or(F.col("severity") == "ERROR"), F.lit(False)).alias("failed"))

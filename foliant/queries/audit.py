@@ -22,7 +22,7 @@ def _chunks(spark: SparkSession, folder: str) -> DataFrame:
 def _fresh(spark: SparkSession, folder: str) -> DataFrame:
     """What a rebuild gives: the chunks that have text and a known type, without those of pictures."""
     c = _chunks(spark, folder)
-    return c.filter(~A.invalid_type() & (F.trim("text") != "") & (F.col("chunk_type") != "image_analysis") & F.col("doc_id").isNotNull()).select("doc_id", "chunk_id")
+    return c.filter(~A.invalid_type() & (F.trim("text") != "") & (F.col("chunk_type") != "image_analysis") & F.col("doc_id").isNotNull()).select("doc_id", "chunk_id", "chunk_type")
 
 
 def audit_type_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -87,7 +87,25 @@ def audit_summary(spark: SparkSession, folder: str) -> DataFrame:
     return A.severities(A.issues(table(spark, folder, "chunks"), _fresh(spark, folder)))
 
 
-QUERIES = [audit_type_counts, audit_doc_counts, audit_duplicates, audit_missing_metadata, audit_empty, audit_invalid_pages, audit_invalid_types, audit_oversized, audit_stale_missing, audit_term_checks, audit_term_alignment, audit_graph_term_alignment, audit_issues, audit_summary]
+def audit_fresh_type_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return A.fresh_counts(_fresh(spark, folder))
+
+
+def full_issues(spark: SparkSession, folder: str, fresh: DataFrame | None) -> DataFrame:
+    """Issues of the chunks, of the graph, and of the graph's terms against the text."""
+    chunks, g = table(spark, folder, "chunks"), entities(spark, folder)
+    return A.issues(chunks, fresh).unionByName(A.graph_issues(chunks, g.nodes, g.edges, TERMS))
+
+
+def audit_full_issues(spark: SparkSession, folder: str) -> DataFrame:
+    return full_issues(spark, folder, _fresh(spark, folder)).select("severity", "category", "check", "n")
+
+
+def audit_full_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return A.severities(full_issues(spark, folder, _fresh(spark, folder)))
+
+
+QUERIES = [audit_type_counts, audit_doc_counts, audit_duplicates, audit_missing_metadata, audit_empty, audit_invalid_pages, audit_invalid_types, audit_oversized, audit_stale_missing, audit_term_checks, audit_term_alignment, audit_graph_term_alignment, audit_issues, audit_summary, audit_fresh_type_counts, audit_full_issues, audit_full_summary]
 
 _ENDS = f"regexp_replace(text, '^{BLANK}+|{BLANK}+$', '', 'g')"
 _C = f"""
@@ -137,3 +155,16 @@ _ALL_TERMS = f"""gt AS (WITH {GRAPH_SQL}, {GRAPH_TERMS_SQL} SELECT f[2] AS term,
 _ALIGNED = r"""ah AS (SELECT term, seq, chunk_id FROM c JOIN ak ON regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])' || regexp_escape(term) || '([^\p{L}\p{N}_]|$)'))"""
 SQL["audit_graph_term_alignment"] = f"""WITH {_C}, {_ALL_TERMS}, {_ALIGNED}
     SELECT ak.term, count(ah.seq) AS matches, coalesce(array_to_string(list_slice(list(chunk_id ORDER BY seq) FILTER (ah.seq IS NOT NULL), 1, 5), ','), '') AS examples FROM ak LEFT JOIN ah USING (term) GROUP BY ak.term"""
+_FULL = f"""WITH {_C}, {_ALL_TERMS}, {_ALIGNED},
+    gs AS (WITH {GRAPH_SQL} SELECT (SELECT count(DISTINCT node_id) FROM n) AS nodes, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM g WHERE degree = 0) AS isolated),
+    tc AS (WITH {GRAPH_SQL}, {_TERM_TABLE} SELECT term, count(n.node_id) AS hits, coalesce(max(degree), 0) AS max_degree FROM k LEFT JOIN n ON contains(lower(coalesce(n.name, n.node_id)), lower(term)) LEFT JOIN g ON g.node_id = n.node_id GROUP BY term),
+    fi AS (SELECT * FROM i UNION ALL SELECT * FROM (
+        SELECT 'ERROR' AS severity, 'graph_topology' AS category, 'no_nodes' AS "check", CASE WHEN nodes = 0 THEN 1 ELSE 0 END AS n FROM gs
+        UNION ALL SELECT 'ERROR', 'graph_topology', 'no_edges', CASE WHEN nodes > 1 AND edges = 0 THEN 1 ELSE 0 END FROM gs
+        UNION ALL SELECT 'WARN', 'graph_topology', 'isolated_nodes', isolated FROM gs
+        UNION ALL SELECT 'WARN', 'graph_topology', 'term_absent', count(*) FROM tc WHERE hits = 0
+        UNION ALL SELECT 'WARN', 'graph_topology', 'term_only_isolated', count(*) FROM tc WHERE hits > 0 AND max_degree = 0
+        UNION ALL SELECT 'WARN', 'hybrid_alignment', 'terms_not_in_chunks', count(*) FROM ak WHERE term NOT IN (SELECT term FROM ah)) WHERE n > 0)"""
+SQL["audit_fresh_type_counts"] = f"WITH {_C} SELECT doc_id, chunk_type, count(*) AS n FROM (SELECT DISTINCT doc_id, chunk_id, chunk_type FROM v WHERE trim(text) <> '' AND chunk_type <> 'image_analysis' AND doc_id IS NOT NULL) GROUP BY ALL"
+SQL["audit_full_issues"] = f"{_FULL} SELECT * FROM fi"
+SQL["audit_full_summary"] = f"{_FULL} SELECT count(*) FILTER (severity = 'ERROR') AS errors, count(*) FILTER (severity = 'WARN') AS warnings, coalesce(bool_or(severity = 'ERROR'), false) AS failed FROM fi"

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from foliant import catalogue
+from foliant import catalogue, cli
 from foliant.functions.text import whole_term
 from foliant.operators import audit as A
 from foliant.sources.sinks import report_lines
@@ -75,3 +75,28 @@ def test_graph_terms_are_aligned(spark, folder):
     assert rows(A.aligned_terms(c, terms), "term", "matches") == [("ADC_2", 1), ("GTM", 0), ("watchdog", 1)]
     named = {r.term.lower() for r in graph_query(spark, folder, "graph_terms").collect()}
     assert named and named <= {r.term.lower() for r in graph_query(spark, folder, "audit_graph_term_alignment").collect()}
+
+
+def test_graph_issues(spark):
+    c = chunks(spark, ("d", "structural", "the watchdog", 1, 1, "s"))
+    nodes = spark.createDataFrame([(i, n, None, None, None) for i, n in (("a", "watchdog"), ("b", "timer"), ("z", "lonely"))], "node_id string, name string, label string, class string, title string")
+    edges = spark.createDataFrame([("a", "b", "x")], "src string, dst string, label string")
+    found = lambda n, e, terms=("watchdog", "lonely", "none"): dict(rows(A.graph_issues(c, n, e, list(terms)), "check", "n"))
+    assert found(nodes, edges) == {"isolated_nodes": 1, "term_absent": 1, "term_only_isolated": 1, "terms_not_in_chunks": 3}
+    assert found(nodes, edges.limit(0))["no_edges"] == 1 and found(nodes, edges.limit(0), [])["isolated_nodes"] == 3
+    assert found(nodes.limit(0), edges.limit(0)) == {"no_nodes": 1, "term_absent": 3, "terms_not_in_chunks": 2}
+    assert rows(A.graph_issues(c, None, None, []), "severity", "check") == [("ERROR", "graph_missing")]
+
+
+def test_search_issues(spark):
+    hit = lambda q: q.filter("t = 'a'").selectExpr("q AS query_id")
+    assert rows(A.search_issues(spark, ["a", "b"], hit), "check", "n") == [("search_empty", 1)]
+    assert A.search_issues(spark, ["a"], hit).count() == 0
+    assert rows(A.search_issues(spark, ["a"], lambda q: q.select("nothing")), "check", "n") == [("search_failed", 1)]
+
+
+def test_command_line_checks_graph_and_fresh(spark, folder, tmp_path):
+    spark.createDataFrame([("no such", "new")], "doc_id string, chunk_id string").write.parquet(f"{tmp_path}/fresh")
+    assert cli.main(["audit", folder, "--live-search", "--fresh", f"{tmp_path}/fresh", "--json", f"{tmp_path}/r.json"]) == 1
+    found = {i["check"] for i in json.loads((tmp_path / "r.json").read_text())["issues"]}
+    assert {"terms_not_in_chunks", "stale_or_missing", "term_absent"} <= found
