@@ -57,7 +57,7 @@ class Engine:
         return fusion.final(fusion.reciprocal_rank_fusion(near, words), k)
 
     def run(self, name: str, arguments: dict[str, Any]) -> dict[str, Any]:
-        """A tool's answer as plain data; an unknown tool or a missing argument is an error in the answer."""
+        """A tool's answer as plain data, of the graph all matches; an unknown tool or a missing argument is an error in the answer."""
         tool = next((t["function"] for t in TOOLS if t["function"]["name"] == name), None)
         if tool is None:
             return {"error": f"unknown tool: {name}"}
@@ -68,10 +68,10 @@ class Engine:
             hits = self.search(arguments["query"], arguments.get("doc_id")).join(self.chunks.dropDuplicates(["seq"]), F.col("item") == F.col("seq"))
             rows = hits.orderBy("rank").select("chunk_id", "text", "doc_id", "page_start", "page_end", F.col("section_path").alias("section"))
         elif name == "search_graph":
-            rows = graph.lookup(self.nodes, arguments["entity_name"]).orderBy("node_id").limit(50)
+            rows = graph.lookup(self.nodes, arguments["entity_name"]).orderBy("node_id")
         else:
             one = self.nodes.filter(F.col("node_id") == arguments["node_id"])
-            rows = graph.neighbours(self.nodes, self.edges, one).orderBy("node_id").limit(80)
+            rows = graph.neighbours(self.nodes, self.edges, one).orderBy("node_id", "label")
         return {"results": [r.asDict() for r in rows.collect()]}
 
 

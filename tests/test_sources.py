@@ -107,6 +107,14 @@ def test_tools(spark):
     assert "error" in e.run("search_graph", {}) and "error" in e.run("nothing", {})
 
 
+def test_graph_tools_return_all(spark):
+    e = engine(spark)
+    e.nodes = spark.createDataFrame([(f"n{i}", f"pin {i}", "L", "C", None) for i in range(120)], e.nodes.schema)
+    e.edges = spark.createDataFrame([("n0", f"n{i}", "x") for i in range(1, 120)], e.edges.schema)
+    assert len(e.run("search_graph", {"entity_name": "pin"})["results"]) == 120
+    assert len(e.run("get_graph_neighbors", {"node_id": "n0"})["results"]) == 119
+
+
 def test_agent(spark):
     turns = iter([{"role": "assistant", "tool_calls": [{"function": {"name": "search_graph", "arguments": '{"entity_name": "timer"}'}}]}, {"role": "assistant", "content": "done"}])
     agent = Agent(engine(spark), lambda messages, tools: next(turns))
