@@ -140,7 +140,7 @@ def _batches(batch: pa.RecordBatch, most: int = 1_500_000) -> Iterator[tuple[lis
         yield docs, texts
 
 
-def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, width: int = 12, edits: int = 2, repeats: int = 12, samples: int = 9, seed: int = 6) -> DataFrame:
+def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, width: int = 12, edits: int = 2, repeats: int = 24, samples: int = 9, seed: int = 6) -> DataFrame:
     """(doc_id, item_id, distance, windows): documents that hold a run of ``width`` words of an item with at most ``edits`` edits.
 
     Words are maximal runs of letters and digits in any case. An unedited run is always found: equal windows

@@ -1,3 +1,4 @@
+import inspect
 import random
 
 import numpy as np
@@ -83,3 +84,18 @@ def test_edit_distance(seed):
         return d[-1][-1]
 
     assert L.edit_distance(a, b).tolist() == [slow(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+
+
+def test_recall_at_the_bound():
+    """Two words replaced in items of exactly twelve, with the operator's own repeats and samples."""
+    given = {k: p.default for k, p in inspect.signature(L.leaks).parameters.items()}
+    for seed in (given["seed"], 1, 2, 3, 4, 5):
+        rng = random.Random(seed + 100)
+        items = [(i, [f"w{rng.randrange(400)}" for _ in range(12)]) for i in range(400)]
+        docs = []
+        for _, w in items:
+            a, b = rng.sample(range(1, 11), 2)
+            docs.append(" ".join(["left"] * 6 + ["new" if k in (a, b) else x for k, x in enumerate(w)] + ["right"] * 6))
+        block = L._block(items, 12, given["repeats"], given["samples"], seed)
+        found = {d for d, i, *_ in L._search(block, list(range(400)), docs, 12, 2) if d == i}
+        assert len(found) / len(items) >= 0.93
