@@ -54,7 +54,7 @@ def _lines(spark: SparkSession, folder: str) -> boilerplate.RepeatedLines:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _lines(spark, folder).occurrences().select(F.col("item").alias("seq"), "line_no").distinct()
+    return _lines(spark, folder).occurrences().select(F.col("item").alias("seq"), "line_no")
 
 
 def p4_clean(spark: SparkSession, folder: str) -> DataFrame:
@@ -166,6 +166,18 @@ def oracle_sql() -> dict[str, str]:
             k AS (SELECT doc_id, line, 1 AS gone FROM n WHERE line <> '' AND doc_id IS NOT NULL GROUP BY doc_id, line HAVING count(DISTINCT seq) >= 8),
             t AS (SELECT seq, coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (gone IS NULL), '') AS text, count(gone) AS removed FROM n LEFT JOIN k USING (doc_id, line) GROUP BY seq)
             SELECT c.seq, CASE WHEN c.text IS NOT NULL THEN coalesce(t.text, '') END AS text, coalesce(removed, 0) AS removed FROM c LEFT JOIN t USING (seq)""",
+        "p4_blocks": rf"""
+            WITH c AS (SELECT DISTINCT seq, doc_id, text FROM chunks WHERE text IS NOT NULL AND doc_id IS NOT NULL AND seq IS NOT NULL),
+            l AS (SELECT seq, doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM c),
+            n AS (SELECT seq, doc_id, line_no, {line} AS line FROM l),
+            a AS (SELECT seq, doc_id, list(line ORDER BY line_no) AS ls, list(line_no ORDER BY line_no) AS nos FROM n WHERE line <> '' GROUP BY seq, doc_id),
+            s AS (SELECT *, unnest(range(1, len(ls) + 1)) AS pos FROM a),
+            b AS (SELECT seq, doc_id, nos[pos] AS line_no, pos, unnest(range(1, len(ls) - pos + 2)) AS lines, ls FROM s),
+            g AS (SELECT seq, doc_id, line_no, pos, lines, array_to_string(list_slice(ls, pos, pos + lines - 1), chr(10)) AS block FROM b),
+            k AS (SELECT doc_id, block, count(DISTINCT seq) AS documents FROM g GROUP BY ALL HAVING documents >= 8),
+            m AS (SELECT seq, line_no, pos, max(lines) AS lines, arg_max(documents, lines) AS documents FROM g JOIN k USING (doc_id, block) GROUP BY ALL),
+            w AS (SELECT *, max(pos + lines) OVER (PARTITION BY seq ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS covered FROM m)
+            SELECT seq, line_no, CAST(lines AS INT) AS lines, documents FROM w WHERE covered IS NULL OR covered < pos + lines""",
         "p6_found": r"""
             WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
             i AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
