@@ -19,21 +19,21 @@ RECORDS = {
 }
 
 
-def _records(spark: SparkSession, folder: str) -> DataFrame:
+def _records(spark: SparkSession, folder: str) -> records.Collapsed:
     parts = [
-        records.collapse(table(spark, folder, name), record, columns, exact={"doc_id"}, delimited=delimited).withColumn("kind", F.lit(kind))
+        records.digested(table(spark, folder, name), record, columns, exact={"doc_id"}, delimited=delimited).withColumn("kind", F.lit(kind))
         for kind, (name, record, columns, delimited) in RECORDS.items()
     ]
-    return union_all(parts)
+    return records.Collapsed(union_all(parts), ["kind"])
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _records(spark, folder).filter("record_id <> first_id").select("kind", "first_id", F.col("record_id").alias("copy_id"))
+    return _records(spark, folder).copies().filter("record_id <> first_id").select("kind", "first_id", F.col("record_id").alias("copy_id"))
 
 
 def p1_records(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each record, with the number of its copies."""
-    return _records(spark, folder).filter("record_id = first_id").select("kind", "first_id", "copies")
+    return _records(spark, folder).firsts()
 
 
 def _pictures(spark: SparkSession, folder: str) -> neardup.NearDuplicates:

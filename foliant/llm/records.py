@@ -6,6 +6,8 @@ nothing; the root digest groups the records, and the whole normalised structure
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +15,8 @@ from pyspark.sql import types as T
 from foliant.plans.lineage import cut
 from foliant.plans.skew import attach
 
-_NULL = "~"
+#: Groups of copies are broadcast up to this many, counted beforehand; beyond it their members' structures are shuffled to them.
+BROADCAST_GROUPS = 200_000
 
 
 def normal_text(c: Column) -> Column:
@@ -21,44 +24,109 @@ def normal_text(c: Column) -> Column:
     return F.upper(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", ""))
 
 
-class _Leaf:
-    """Builds one of two trees over a column: digests from the leaves up, or the structure spelled out."""
-
-    def __init__(self, hashed: bool, exact: set[str], delimited: dict[str, str], ordered: set[str]):
-        self.hashed, self.exact, self.delimited, self.ordered = hashed, exact, delimited, ordered
+class _Tree:
+    """The normal form of a column, and the Merkle digest of such a form."""
 
-    def close(self, c: Column) -> Column:
-        return F.md5(c) if self.hashed else c
+    def __init__(self, exact: set[str], delimited: dict[str, str], ordered: set[str]):
+        self.exact, self.delimited, self.ordered = exact, delimited, ordered
 
-    def node(self, kind: str, parts: Column) -> Column:
-        return self.close(F.concat(F.lit(kind + "("), F.array_join(parts, ","), F.lit(")")))
-
-    def tree(self, c: Column, t: T.DataType, path: str) -> Column:
+    def form(self, c: Column, t: T.DataType, path: str) -> Column:
+        """``c`` with its leaves normalised, its sets sorted and without repeats; null stays null."""
         if path in self.delimited:
             parts = F.filter(F.transform(F.split(c, self.delimited[path]), normal_text), lambda x: x != "")
-            out = self.node("set", F.array_sort(F.array_distinct(F.transform(parts, lambda x: self.close(F.concat(F.lit("t"), x))))))
-        elif isinstance(t, (T.StringType, T.CharType, T.VarcharType)):
-            out = self.close(F.concat(F.lit("x"), F.hex(c)) if path in self.exact else F.concat(F.lit("t"), normal_text(c)))
-        elif isinstance(t, T.StructType):
+            return F.array_sort(F.array_distinct(parts))
+        if isinstance(t, (T.StringType, T.CharType, T.VarcharType)):
+            return c if path in self.exact else normal_text(c)
+        if isinstance(t, T.StructType):
             fields = sorted(t.fields, key=lambda f: f.name)
-            out = self.node("struct", F.array(*[F.concat(F.lit(f.name + "="), self.tree(c.getField(f.name), f.dataType, f"{path}.{f.name}")) for f in fields]))
+            return F.when(c.isNotNull(), F.struct(*[self.form(c.getField(f.name), f.dataType, f"{path}.{f.name}").alias(f.name) for f in fields]))
+        if isinstance(t, T.ArrayType):
+            parts = F.transform(c, lambda x: self.form(x, t.elementType, path + "[]"))
+            return parts if path in self.ordered else F.array_sort(F.array_distinct(parts))
+        if isinstance(t, T.MapType):
+            pair = lambda e: F.struct(self.form(e["key"], t.keyType, path + ".key").alias("key"), self.form(e["value"], t.valueType, path + ".value").alias("value"))
+            return F.array_sort(F.transform(F.map_entries(c), pair))
+        return c
+
+    def digest(self, f: Column, t: T.DataType, path: str) -> Column:
+        """The digest of the form ``f`` of a column of type ``t``, from the leaves up."""
+        if path in self.delimited:
+            out = F.xxhash64(F.lit("set"), F.array_sort(F.transform(f, lambda x: F.xxhash64(F.lit("text"), x))))
+        elif isinstance(t, T.StructType):
+            fields = sorted(t.fields, key=lambda x: x.name)
+            out = F.xxhash64(F.lit("struct"), *[self.digest(f.getField(x.name), x.dataType, f"{path}.{x.name}") for x in fields])
         elif isinstance(t, T.ArrayType):
-            parts = F.transform(c, lambda x: self.tree(x, t.elementType, path + "[]"))
-            out = self.node("list", parts) if path in self.ordered else self.node("set", F.array_sort(F.array_distinct(parts)))
+            parts = F.transform(f, lambda x: self.digest(x, t.elementType, path + "[]"))
+            out = F.xxhash64(F.lit("list"), parts) if path in self.ordered else F.xxhash64(F.lit("set"), F.array_sort(parts))
         elif isinstance(t, T.MapType):
-            parts = F.transform(F.map_entries(c), lambda e: F.concat(self.tree(e["key"], t.keyType, path + ".key"), F.lit(":"), self.tree(e["value"], t.valueType, path + ".value")))
-            out = self.node("map", F.array_sort(parts))
+            pair = lambda e: F.xxhash64(self.digest(e["key"], t.keyType, path + ".key"), self.digest(e["value"], t.valueType, path + ".value"))
+            out = F.xxhash64(F.lit("map"), F.array_sort(F.transform(f, pair)))
         else:
-            out = self.close(F.concat(F.lit("v"), c.cast("string")))
-        return F.when(c.isNull(), F.lit(_NULL)).otherwise(out)
+            out = F.xxhash64(F.lit("text" if isinstance(t, T.StringType) else "value"), f)
+        return F.when(f.isNull(), F.lit(0).cast("bigint")).otherwise(out)
 
 
 def digested(df: DataFrame, record_id: str, columns: list[str], exact: set[str] = frozenset(), delimited: dict[str, str] | None = None, ordered: set[str] = frozenset()) -> DataFrame:
-    """(record_id, digest, shape): the Merkle root of each record's ``columns`` and the structure it stands for."""
-    whole = T.StructType([df.schema[c] for c in columns])
-    row = F.struct(*[F.col(f"`{c}`") for c in columns])
-    make = lambda hashed: _Leaf(hashed, {f"r.{x}" for x in exact}, {f"r.{k}": v for k, v in (delimited or {}).items()}, {f"r.{x}" for x in ordered}).tree(F.col("__row"), whole, "r")
-    return df.select(F.col(f"`{record_id}`").alias("record_id"), row.alias("__row")).select("record_id", F.unhex(make(True)).alias("digest"), make(False).alias("shape"))
+    """(record_id, x, y, form): the two halves of each record's Merkle root over ``columns``, and its normal form as JSON. Null ids are left out.
+
+    Leaves are normalised in one projection and hashed in the next, so each is normalised once.
+    """
+    tree = _Tree(set(exact), dict(delimited or {}), set(ordered))
+    types = {c: df.schema[c].dataType for c in columns}
+    rows = df.filter(F.col(f"`{record_id}`").isNotNull())
+    rows = rows.select(F.col(f"`{record_id}`").alias("record_id"), *[tree.form(F.col(f"`{c}`"), t, c).alias(f"f_{i}") for i, (c, t) in enumerate(types.items())])
+    leaves = rows.select("*", *[tree.digest(F.col(f"f_{i}"), t, c).alias(f"d_{i}") for i, (c, t) in enumerate(types.items())])
+    children = [F.col(f"d_{i}") for i in range(len(columns))]
+    return leaves.select("record_id", F.xxhash64(F.lit(1), *children).alias("x"), F.xxhash64(F.lit(2), *children).alias("y"), F.to_json(F.struct(*[f"f_{i}" for i in range(len(columns))])).alias("form"))
+
+
+class Collapsed:
+    """Groups of equal records among ``rows(record_id, x, y, form)``, as ``digested`` gives them, apart for each value of ``within``.
+
+    Scale: digests and forms are made where a record is read and written once. Only (id, digest) is shuffled, with counts that
+    combine before; forms are compared in the groups that have copies, each form of a group once a task. Records meet
+    their group by broadcast of the largest groups and an ordinary join of the others, so no group is ever gathered.
+    """
+
+    def __init__(self, rows: DataFrame, within: list[str] | None = None):
+        self.within = within or []
+        self.rows = cut(rows)
+        self.keys = [*self.within, "x", "y"]
+        if not self._confirmed():  # two structures share a digest: the structure itself belongs to the key
+            self.keys.append("form")
+            for name in ("ids", "groups"):
+                self.__dict__.pop(name, None)
+
+    @cached_property
+    def ids(self) -> DataFrame:
+        """Every record of each group once."""
+        return self.rows.select(*self.keys, "record_id").distinct()
+
+    @cached_property
+    def groups(self) -> DataFrame:
+        """(within, first_id, copies) and the key of each group."""
+        return cut(self.ids.groupBy(*self.keys).agg(F.min("record_id").alias("first_id"), F.count(F.lit(1)).alias("copies")))
+
+    def _confirmed(self) -> bool:
+        """Whether all records of each group have the same whole normal form."""
+        several = self.groups.filter("copies > 1").select(*self.keys)
+        if several.count() <= BROADCAST_GROUPS:
+            several = F.broadcast(several)
+        forms = self.rows.select(*self.keys, "form").join(several, self.keys, "left_semi").distinct()
+        return forms.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+
+    def copies(self) -> DataFrame:
+        """(within, record_id, first_id, copies) of the records in groups of two and more."""
+        return attach(self.ids, self.groups.filter("copies > 1"), self.keys, "copies").select(*self.within, "record_id", "first_id", "copies")
+
+    def firsts(self) -> DataFrame:
+        """(within, first_id, copies): one row for each group."""
+        return self.groups.select(*self.within, "first_id", "copies")
+
+    def records(self) -> DataFrame:
+        """(within, record_id, first_id, copies) of every record."""
+        single = self.groups.filter("copies = 1").select(*self.within, F.col("first_id").alias("record_id"), "first_id", "copies")
+        return self.copies().unionByName(single)
 
 
 def collapse(df: DataFrame, record_id: str, columns: list[str], **how) -> DataFrame:
@@ -70,17 +138,5 @@ def collapse(df: DataFrame, record_id: str, columns: list[str], **how) -> DataFr
     left out. Null equals only null; an empty string equals one without letters or digits; an empty array
     differs from null. Columns not named are ignored. A row delivered again (same id and content) counts
     once; one id with two contents belongs to two groups. Rows with a null id and empty tables give no rows.
-
-    Scale: the digest and structure are made where the row is read; grouping combines before it shuffles;
-    a group of any size is then met by broadcast of its representative, never gathered.
     """
-    rows = cut(digested(df.filter(F.col(f"`{record_id}`").isNotNull()), record_id, columns, **how).distinct())
-    groups = rows.groupBy("digest", "shape").agg(F.min("record_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    small = cut(groups.drop("shape"))
-    total, digests = small.agg(F.count(F.lit(1)), F.countDistinct("digest")).first()
-    # structures are long, so records meet their group by digest; only if two structures share one is the structure compared again
-    keys = ["digest"] if total == digests else ["digest", "shape"]
-    known = small if total == digests else cut(groups)
-    many = attach(rows.select("record_id", *keys), known.filter("copies > 1"), keys, "copies")
-    single = known.filter("copies = 1").select(F.col("first_id").alias("record_id"), "first_id", "copies")
-    return many.select("record_id", "first_id", "copies").unionByName(single)
+    return Collapsed(digested(df, record_id, columns, **how)).records()

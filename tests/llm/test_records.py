@@ -62,10 +62,12 @@ def test_long_text(spark):
     assert groups(spark, (1, long), (2, long.upper()), (3, long + "x"), schema="id int, t string", columns=["t"]) == [(1, 1, 2), (2, 1, 2), (3, 3, 1)]
 
 
-def test_digest_collision(spark, monkeypatch):
-    """Two structures with one digest stay apart."""
+@pytest.mark.parametrize("most", [0, 1000])
+def test_digest_collision(spark, monkeypatch, most):
+    """Two structures with one digest stay apart, whether groups are broadcast to their members or not."""
     from foliant.llm import records
 
+    monkeypatch.setattr(records, "BROADCAST_GROUPS", most)
     real = records.digested
-    monkeypatch.setattr(records, "digested", lambda *a, **k: real(*a, **k).withColumn("digest", F.lit(b"same")))
+    monkeypatch.setattr(records, "digested", lambda *a, **k: real(*a, **k).withColumns({"x": F.lit(1).cast("bigint"), "y": F.lit(2).cast("bigint")}))
     assert groups(spark, (1, "a"), (2, "A"), (3, "b"), (4, "c"), (5, "C!"), schema="id int, t string", columns=["t"]) == [(1, 1, 2), (2, 1, 2), (3, 3, 1), (4, 4, 2), (5, 4, 2)]
