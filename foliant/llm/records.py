@@ -94,18 +94,13 @@ class Collapsed:
         self.keys = [*self.within, "x", "y"]
         if not self._confirmed():  # two structures share a digest: the structure itself belongs to the key
             self.keys.append("form")
-            for name in ("ids", "groups"):
-                self.__dict__.pop(name, None)
-
-    @cached_property
-    def ids(self) -> DataFrame:
-        """Every record of each group once."""
-        return self.rows.select(*self.keys, "record_id").distinct()
+            del self.groups
 
     @cached_property
     def groups(self) -> DataFrame:
         """(within, first_id, copies) and the key of each group."""
-        return cut(self.ids.groupBy(*self.keys).agg(F.min("record_id").alias("first_id"), F.count(F.lit(1)).alias("copies")))
+        once = self.rows.select(*self.keys, "record_id").distinct()
+        return cut(once.groupBy(*self.keys).agg(F.min("record_id").alias("first_id"), F.count(F.lit(1)).alias("copies")))
 
     def _confirmed(self) -> bool:
         """Whether all records of each group have the same whole normal form."""
@@ -117,7 +112,8 @@ class Collapsed:
 
     def copies(self) -> DataFrame:
         """(within, record_id, first_id, copies) of the records in groups of two and more."""
-        return attach(self.ids, self.groups.filter("copies > 1"), self.keys, "copies").select(*self.within, "record_id", "first_id", "copies")
+        members = self.rows.select(*self.keys, "record_id")
+        return attach(members, self.groups.filter("copies > 1"), self.keys, "copies").select(*self.within, "record_id", "first_id", "copies").distinct()
 
     def firsts(self) -> DataFrame:
         """(within, first_id, copies): one row for each group."""
