@@ -52,5 +52,33 @@ def pairs_within(members: DataFrame, keys: list[str], item: str, block: int = 10
     return a.join(b, on).filter((F.col("a") < F.col("b")) & once).select("a", "b")
 
 
+#: Classes of more than one block of members are broadcast up to this many, counted beforehand; beyond it they are joined by a shuffle.
+BROADCAST_CLASSES = 200_000
+
+
+def member_pairs(pairs: DataFrame, members: DataFrame, key: str, item: str, block: int = 1024) -> DataFrame:
+    """Every pair (a, b), a < b, of different items whose classes are paired in ``pairs(a, b)``; ``members`` has each class's ``key`` and ``item``.
+
+    For results that are defined as pairs. A class of n members is split into ceil(n / block) blocks, and each block of the one class meets
+    each of the other under a join key of its own, so that two large classes spread over many tasks. Null keys and items pair with
+    nothing; repeated rows count once.
+    """
+    members = cut(members.select(F.col(key).alias("key"), F.col(item).alias("item")).dropna().distinct())
+    large = cut(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    many = large.count()
+    own, spread = members.withColumn("block", F.lit(0)), pairs.select("a", "b", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    if many:
+        by = F.broadcast(large) if many <= BROADCAST_CLASSES else large
+        blocks = F.coalesce("blocks", F.lit(1))
+        own = members.join(by, "key", "left").select("key", "item", F.pmod(F.xxhash64("item"), blocks).cast("int").alias("block"))
+        spread = pairs.select("a", "b")
+        for side, name in (("a", "i"), ("b", "j")):
+            spread = spread.join(by.withColumnRenamed("key", side), side, "left").withColumn(name, F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks")
+    a = own.select(F.col("key").alias("a"), F.col("block").alias("i"), F.col("item").alias("x"))
+    b = own.select(F.col("key").alias("b"), F.col("block").alias("j"), F.col("item").alias("y"))
+    both = spread.join(a, ["a", "i"]).join(b, ["b", "j"]).filter("x <> y")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

@@ -4,6 +4,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from foliant.plans import skew
 from foliant.plans.components import components
 from foliant.plans.lineage import cut, shared_dir
 from foliant.plans.ordered import carried, numbered
@@ -88,3 +89,18 @@ def test_carried(spark, block):
     got = rows(carried(df, "k", "o", {"n": F.col("f").cast("int")}, {"last": F.col("h")}, {"next": F.when(F.col("f"), F.col("o"))}, block), "k", "o", "n", "last", "next")
     want = [(1, i, i // 4 + 1, f"h{i // 5 * 5}", i // 4 * 4 + 4 if i < 16 else None) for i in range(20)] + [(2, 0, 0, None, None)]
     assert got == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+@pytest.mark.parametrize("block", [1, 7, 1024])
+def test_member_pairs(spark, monkeypatch, block, most):
+    monkeypatch.setattr(skew, "BROADCAST_CLASSES", most)
+    members = [("a", i) for i in range(20)] + [("b", i) for i in range(15, 30)] + [("c", 50), ("d", 60), ("a", 3), (None, 9), ("a", None)]
+    pairs = [("a", "b"), ("b", "c"), ("c", "x"), (None, "d")]
+    at = {}
+    for k, i in members:
+        if k and i is not None:
+            at.setdefault(k, set()).add(i)
+    want = {(min(x, y), max(x, y)) for a, b in pairs if a in at and b in at for x in at[a] for y in at[b] if x != y}
+    got = skew.member_pairs(spark.createDataFrame(pairs, "a string, b string"), spark.createDataFrame(members, "k string, i int"), "k", "i", block)
+    assert rows(got) == sorted(want, key=repr)
