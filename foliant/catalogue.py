@@ -5,32 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from foliant.operators import quantities as Q
-from foliant.queries import audit, chunking, graph, images, registry, retrieval
-from foliant.sources.tables import table
-
-_CELLS = ("min_value", "max_value", "typical_value")
-
-
-def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows = Q.quantities(table(spark, folder, "timing_parameters"), "param_id", _CELLS, "unit", "name", "description")
-    return rows.filter("origin IS NOT NULL").select(F.col("record_id").alias("param_id"), "field", F.col("kind").alias("quantity"), "amount")
-
-
-def p3_common_units(spark: SparkSession, folder: str) -> DataFrame:
-    """Every quantity in its common unit; where no unit is written, with the inferred one, its posterior and a flag."""
-    rows = Q.common_units(table(spark, folder, "timing_parameters"), "param_id", _CELLS, "unit", "name", "description")
-    return rows.withColumnRenamed("record_id", "param_id").withColumnRenamed("kind", "quantity").withColumn("posterior", F.round("posterior", 6))
+from foliant.queries import audit, chunking, graph, images, quantities, registry, retrieval
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = {f.__name__: f for f in (p3_found, p3_common_units)}
-    for module in (retrieval, chunking, audit, images):
+    out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+    for module in (quantities, retrieval, chunking, audit, images):
         out |= {f.__name__: f for f in module.QUERIES}
     return out | graph.QUERIES | registry.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return retrieval.SQL | chunking.SQL | graph.SQL | audit.SQL | images.SQL | registry.SQL
+    return quantities.SQL | retrieval.SQL | chunking.SQL | graph.SQL | audit.SQL | images.SQL | registry.SQL

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.plans.lineage import cut
+from foliant.plans.skew import attach
+
 # Units of time as powers of ten of a second, of frequency as powers of ten of a hertz.
 TIME_UNITS = {"ps": -12, "psec": -12, "picosecond": -12, "ns": -9, "nsec": -9, "nanosecond": -9, "us": -6, "usec": -6, "microsecond": -6, "ms": -3, "msec": -3, "millisecond": -3, "s": 0, "sec": 0, "second": 0}
 FREQUENCY_UNITS = {"hz": 0, "hertz": 0, "khz": 3, "kilohertz": 3, "mhz": 6, "megahertz": 6, "ghz": 9, "gigahertz": 9}
@@ -108,8 +111,8 @@ def scaled(digits: Column, power: Column, negative: Column) -> Column:
 def quantities(df: DataFrame, record_id: str, fields: Sequence[str], unit: str, name: str, description: str) -> DataFrame:
     """One row for each value cell with a number that may be a time or a frequency.
 
-    (record_id, field, name, kind, amount, origin, log10): origin says where the unit was found (cell, unit, name or description,
-    in this order of precedence) or is null, and then kind and amount are null and log10 is the size of the bare number (null for
+    (record_id, field, name, kind, amount, origin, log10, bare): origin says where the unit was found (cell, unit, name or description,
+    in this order of precedence) or is null, and then kind and amount are null. bare is the number as it stands, log10 its size (null for
     zero and negative ones). Numbers in clock cycles, per cent or unit intervals, by the cell or its unit column, and cells without a
     number give no row; so do amounts that are not whole picoseconds or hertz. A record delivered again counts once; null ids give no
     rows. Everything is one scan of JVM expressions and one distinct.
@@ -127,52 +130,86 @@ def quantities(df: DataFrame, record_id: str, fields: Sequence[str], unit: str,
     shift = F.col("v_power") + F.when(F.col("code") > FREQUENCY // 2, F.col("code") - FREQUENCY - BASE["frequency"]).otherwise(F.col("code") - BASE["time"])
     used = F.col("v_number") & ~F.col("v_other") & (F.col("v_unit").isNotNull() | ~F.col("no_unit"))
     rows = rows.withColumns({"kind": kind, "shift": shift, "used": used})
-    bare = F.when(~F.col("v_negative"), F.log10(F.col("v_digits").cast("double")) + F.col("v_power"))
-    out = rows.select("used", "record_id", "field", "name", "kind", scaled(F.col("v_digits"), F.col("shift"), F.col("v_negative")).alias("amount"), "origin", bare.alias("log10"))
+    digits = F.col("v_digits").cast("double")
+    log10 = F.when(~F.col("v_negative"), F.log10(digits) + F.col("v_power"))
+    bare = F.when(F.col("v_negative"), -digits).otherwise(digits) * F.pow(F.lit(10.0), F.col("v_power").cast("double"))
+    out = rows.select("used", "record_id", "field", "name", "kind", scaled(F.col("v_digits"), F.col("shift"), F.col("v_negative")).alias("amount"), "origin", log10.alias("log10"), bare.alias("bare"))
     return _barrier(out).filter("used AND (origin IS NULL OR amount IS NOT NULL)").drop("used")
 
 
 # Units that a missing one may be: kind and power of ten.
 CANDIDATES = [("time", -12), ("time", -9), ("time", -6), ("time", -3), ("time", 0), ("frequency", 0), ("frequency", 3), ("frequency", 6), ("frequency", 9)]
-BIN = 0.05
-
-
-def _fit(key: str, hist: pd.DataFrame, rounds: int = 40) -> pd.DataFrame:
-    """EM over a histogram of log sizes: one location and spread for each kind, candidates offset by their known powers."""
-    x, n, power = hist["x"].to_numpy(), hist["n"].to_numpy(float), hist["power"].to_numpy(float)
-    kind = hist["kind"].to_numpy()
-    known = ~np.isnan(power)
-    offsets = np.array([p for _, p in CANDIDATES], float)
-    kinds = np.array([k for k, _ in CANDIDATES])
-    shifted = x[:, None] + offsets[None, :]  # the size in seconds or hertz, if that were the unit
-    seen = {k: (n[known & (kind == k)].sum()) for k in ("time", "frequency")}
-    mu, sd = {}, {}
-    for k in seen:
-        at = known & (kind == k)
-        y, w = (x + np.nan_to_num(power))[at], n[at]
-        mu[k], sd[k] = (np.average(y, weights=w), max(0.2, np.sqrt(np.average((y - np.average(y, weights=w)) ** 2, weights=w)))) if seen[k] else ((-7.5, 3.0) if k == "time" else (6.5, 3.0))
-    weight = np.array([(n[known & (kind == k) & (power == p)].sum() + 1) for k, p in CANDIDATES], float)
-    total_known = sum(seen.values())
-    for i, k in enumerate(kinds):  # a parameter seen in one kind alone is hardly of the other
-        if total_known and not seen[k]:
-            weight[i] = 0.01
-    weight /= weight.sum()
-    free = ~known
+#: Sizes are counted in bins of so many parts of a power of ten.
+BINS = 20
+#: Width in bins of the kernel that smooths a parameter's density, and cells that its broad background counts for.
+_WIDTH, _BACKGROUND = 3, 2.0
+#: Where a kind's sizes lie that nothing is known of: mean and spread of log10 in seconds and hertz.
+_BROAD = {"time": (-7.5, 3.0), "frequency": (6.5, 3.0)}
+
+
+class _Density:
+    """The density of one kind's sizes on the grid of bins: counts under a smooth kernel, over a broad normal background."""
+
+    def __init__(self, kind: str, low: int, high: int):
+        self.kind, self.low, self.grid = kind, low - 5 * _WIDTH, np.arange(low - 5 * _WIDTH, high + 5 * _WIDTH + 1)
+        kernel = np.exp(-0.5 * (np.arange(-4 * _WIDTH, 4 * _WIDTH + 1) / _WIDTH) ** 2)
+        self.kernel = kernel / kernel.sum()
+        self.value = self._normal(*_BROAD[kind])
+
+    def _normal(self, mean: float, spread: float) -> np.ndarray:
+        return np.exp(-0.5 * ((self.grid / BINS - mean) / spread) ** 2) / (spread * BINS * np.sqrt(2 * np.pi))
+
+    def fit(self, y: np.ndarray, n: np.ndarray) -> None:
+        counts = np.bincount(y - self.low, weights=n, minlength=len(self.grid))
+        total = counts.sum()
+        mean, spread = _BROAD[self.kind]
+        if total > 2:
+            mean = float(counts @ self.grid) / total / BINS
+            spread = max(1.0, 1.5 * float(np.sqrt(counts @ (self.grid / BINS - mean) ** 2 / total)))
+        self.value = (np.convolve(counts, self.kernel, "same") + _BACKGROUND * self._normal(mean, spread)) / (total + _BACKGROUND)
+
+    def at(self, y: np.ndarray) -> np.ndarray:
+        return self.value[y - self.low]
+
+
+def _fit(name: str, hist: pd.DataFrame, rounds: int = 30) -> pd.DataFrame:
+    """The mixture of one parameter, fitted by EM, and what it makes of each of its sizes.
+
+    ``hist`` counts cells by kind and power of their written unit (null without one) and bin of their size (null for zero and negative
+    numbers). All components of a kind are one density of true sizes, offset by the known factors; a component's weight is its
+    share of the parameter's cells. A kind that is written nowhere, where another one is, hardly counts. Returned are kind, power and bin as
+    given, and the likeliest kind (as), power (by) and posterior; a written unit is the only candidate.
+    """
+    kind, power, size, n = hist["kind"].to_numpy(object), hist["power"].to_numpy(float), hist["bin"].to_numpy(float), hist["n"].to_numpy(float)
+    written = np.array([k is not None and k == k for k in kind], dtype=bool)
+    known, free, bare = written & ~np.isnan(power) & ~np.isnan(size), ~written & ~np.isnan(size), ~written & np.isnan(size)
+    kinds, offsets = np.array([k for k, _ in CANDIDATES]), np.array([p * BINS for _, p in CANDIDATES])
+    true = (size[known] + power[known] * BINS).astype(int)
+    shifted = size[free].astype(int)[:, None] + offsets[None, :]
+    every = np.concatenate([true, shifted.ravel(), [0]])
+    density = {k: _Density(k, int(every.min()), int(every.max())) for k in _BROAD}
+    seen = {k: float(n[written & (kind == k)].sum()) for k in _BROAD}
+    prior = np.array([1e-3 if sum(seen.values()) and not seen[k] else 0.5 for k in kinds])
+    counted = np.array([n[known & (kind == k) & (power == p)].sum() for k, p in CANDIDATES])
+    weight = (counted + prior) / (counted + prior).sum()
+    for k in _BROAD:
+        at = kind[known] == k
+        density[k].fit(true[at], n[known][at])
+    post = np.zeros(shifted.shape)
     for _ in range(rounds if free.any() else 0):
-        m, s = np.array([mu[k] for k in kinds]), np.array([sd[k] for k in kinds])
-        like = weight * np.exp(-0.5 * ((shifted[free] - m) / s) ** 2) / s
-        post = like / np.maximum(like.sum(1, keepdims=True), 1e-300)
+        like = weight * np.stack([density[k].at(shifted[:, i]) for i, k in enumerate(kinds)], axis=1)
+        post = like / like.sum(1, keepdims=True)
         mass = post * n[free][:, None]
-        weight = mass.sum(0) + 0.5
+        weight = counted + mass.sum(0) + prior
         weight /= weight.sum()
-        for k in seen:
-            at = kinds == k
-            y = np.concatenate([(x + np.nan_to_num(power))[known & (kind == k)], shifted[free][:, at].ravel()])
-            w = np.concatenate([n[known & (kind == k)], mass[:, at].ravel()])
-            if w.sum() > 1:
-                mu[k] = np.average(y, weights=w)
-                sd[k] = max(0.2, float(np.sqrt(np.average((y - mu[k]) ** 2, weights=w))))
-    return pd.DataFrame({"name_key": key, "kind": kinds, "power": offsets.astype(int), "weight": weight, "mu": [mu[k] for k in kinds], "sd": [sd[k] for k in kinds]})
+        for k in _BROAD:
+            at, mine = kind[known] == k, kinds == k
+            density[k].fit(np.concatenate([true[at], shifted[:, mine].ravel()]), np.concatenate([n[known][at], mass[:, mine].ravel()]))
+    out = pd.DataFrame({"name_key": name, "kind": hist["kind"], "power": hist["power"], "bin": hist["bin"], "n": hist["n"], "as": kind, "by": power, "posterior": 1.0})
+    for rows, p in ((free, post), (bare, np.tile(weight, (int(bare.sum()), 1)))):
+        best = p.argmax(1)
+        out.loc[rows, "as"], out.loc[rows, "by"], out.loc[rows, "posterior"] = kinds[best], offsets[best] / BINS, p[np.arange(len(best)), best]
+    return out
 
 
 def name_key(c: Column) -> Column:
@@ -180,43 +217,39 @@ def name_key(c: Column) -> Column:
     return F.coalesce(F.regexp_replace(F.lower(F.regexp_extract(c, r"^\s*([^\s,(\[/]*)", 1)), r"[^\p{L}\p{N}]", ""), F.lit(""))
 
 
-def unit_mixtures(rows: DataFrame) -> DataFrame:
-    """(name_key, kind, power, weight, mu, sd) of each parameter: log-scale mixtures whose components differ by known factors.
+def _bin(log10: Column) -> Column:
+    return F.round(log10 * BINS).cast("int")
+
+
+def unit_posteriors(rows: DataFrame) -> DataFrame:
+    """(name_key, kind, power, bin, n, as, by, posterior): for each parameter's cells of one written unit (or none) and size, the likeliest unit.
 
     Sizes are counted in bins of log10, so a parameter's group is bounded by bins and units however many rows it has.
     """
-    power = F.col("log10_base") - F.col("log10")
-    hist = (
-        rows.filter("log10 IS NOT NULL AND (origin IS NULL OR log10_base IS NOT NULL)")
-        .select("name_key", F.when(F.col("origin").isNotNull(), F.col("kind")).alias("kind"), F.when(F.col("origin").isNotNull(), F.round(power)).alias("power"), (F.round(F.col("log10") / BIN) * BIN).alias("x"))
-        .groupBy("name_key", "kind", "power", "x")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    schema = "name_key string, kind string, power int, weight double, mu double, sd double"
+    hist = rows.groupBy("name_key", "kind", "power", "bin").agg(F.count(F.lit(1)).alias("n"))
+    schema = "name_key string, kind string, power int, bin int, n bigint, as string, by int, posterior double"
     return hist.groupBy("name_key").applyInPandas(lambda key, h: _fit(key[0], h), schema)
 
 
 def common_units(df: DataFrame, record_id: str, fields: Sequence[str], unit: str, name: str, description: str, sure: float = 0.95) -> DataFrame:
     """Every number of ``quantities`` in picoseconds or hertz, with units inferred where none is written.
 
-    (record_id, field, kind, amount, origin, posterior, uncertain). Where no unit is written anywhere, origin is "inferred": the unit is the
-    candidate of the highest posterior under the parameter's mixture, amount is rounded to whole units, and ``uncertain`` flags a posterior
-    below ``sure``. Zero is zero in the likeliest kind; bare negative numbers are placed by their size. Written units have posterior 1.
+    (record_id, field, kind, amount, origin, posterior, uncertain). Each number's unit is the candidate of the highest posterior under its
+    parameter's mixture: a written unit is the only candidate, of posterior 1, and its amount is exact; where none is written anywhere,
+    origin is "inferred" and the amount is rounded to whole units. ``uncertain`` flags a posterior below ``sure``.
+    Zero and negative numbers without a unit have no size: zero is zero in the likeliest kind, a negative amount goes by the likeliest unit.
+    Rows meet what the mixture says of their size through ``attach``, so a frequent parameter is not one task's.
     """
     q = quantities(df, record_id, fields, unit, name, description)
-    amount_log = F.when(F.col("amount") > 0, F.log10(F.col("amount").cast("double")) + F.when(F.col("kind") == "time", BASE["time"]).otherwise(0))
-    q = q.withColumns({"name_key": name_key(F.col("name")), "log10_base": amount_log})
-    fits = unit_mixtures(q)
-    written = q.filter("origin IS NOT NULL").select("record_id", "field", "kind", "amount", "origin", F.lit(1.0).alias("posterior"), F.lit(False).alias("uncertain"))
-    per_name = fits.groupBy("name_key").agg(F.collect_list(F.struct("kind", "power", "weight", "mu", "sd")).alias("parts"))
-    bare = q.filter("origin IS NULL").join(per_name, "name_key")
-    like = F.transform(
-        "parts",
-        lambda c: F.struct((c["weight"] * F.exp(F.when(F.col("log10").isNull(), 0.0).otherwise(-0.5 * F.pow((F.col("log10") + c["power"] - c["mu"]) / c["sd"], 2))) / c["sd"]).alias("like"), c["kind"].alias("kind"), c["power"].alias("power")),
-    )
-    best = F.array_max("like")
-    total = F.aggregate("like", F.lit(0.0), lambda a, c: a + c["like"])
-    guess = bare.withColumn("like", like).select("record_id", "field", best["kind"].alias("kind"), "log10", best["power"].alias("power"), F.coalesce(best["like"] / F.nullif(total, F.lit(0.0)), F.lit(0.0)).alias("posterior"))
-    exact = F.round(F.pow(F.lit(10.0), F.col("log10") + F.col("power") - F.when(F.col("kind") == "time", BASE["time"]).otherwise(0)))
-    guess = guess.select("record_id", "field", "kind", F.when(exact < 9e18, exact.cast("bigint")).alias("amount"), F.lit("inferred").alias("origin"), "posterior", (F.col("posterior") < sure).alias("uncertain"))
-    return written.unionByName(guess)
+    base = F.when(F.col("kind") == "time", BASE["time"]).otherwise(0)
+    amount_log = F.when(F.col("amount") > 0, F.log10(F.col("amount").cast("double")) + base)
+    q = q.withColumns({"name_key": name_key(F.col("name")), "power": F.round(amount_log - F.col("log10")).cast("int"), "bin": _bin(F.col("log10"))})
+    cell = F.concat_ws("|", "name_key", *[F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in ("kind", "power", "bin")])
+    q = cut(q.withColumn("cell", cell))
+    said = unit_posteriors(q).select(cell.alias("cell"), "n", "as", "by", "posterior")
+    rows = attach(q, said, ["cell"], "n")
+    size = F.when(F.col("log10").isNotNull(), F.pow(F.lit(10.0), F.col("log10"))).otherwise(F.col("bare"))
+    shift = F.col("by") - F.when(F.col("as") == "time", BASE["time"]).otherwise(0)
+    sized = F.round(size * F.pow(F.lit(10.0), shift.cast("double")))
+    amount = F.when(F.col("origin").isNotNull(), F.col("amount")).when(F.abs(sized) < 9e18, sized.cast("bigint"))
+    return rows.select("record_id", "field", F.col("as").alias("kind"), amount.alias("amount"), F.coalesce("origin", F.lit("inferred")).alias("origin"), "posterior", (F.col("posterior") < sure).alias("uncertain"))

@@ -3,6 +3,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foliant.operators import quantities as Q
 from tests.conftest import rows
@@ -110,3 +111,38 @@ def test_edge_rows(spark):
     assert Q.common_units(clash, "param_id", FIELDS, "unit", "name", "description").count() == 1
     assert one(spark, "9" * 30 + " ns") is None
     assert one(spark, "x" * 10000 + "5 ns")[1] == 5_000
+
+
+def hidden_units(spark, folder):
+    """(posterior, right, uncertain) of the cells whose unit column is hidden, and which have no other unit."""
+    t = spark.read.parquet(f"{folder}/timing_parameters.parquet")
+    true = {(r.record_id, r.field): r for r in Q.common_units(t, "param_id", FIELDS, "unit", "name", "description").filter("origin = 'unit'").collect()}
+    hidden = t.withColumn("unit", F.when(F.col("param_id") % 3 != 0, F.col("unit")))
+    got = Q.common_units(hidden, "param_id", FIELDS, "unit", "name", "description").filter("origin = 'inferred'").collect()
+    out = []
+    for r in got:
+        w = true.get((r.record_id, r.field))
+        if w is not None and w.amount:
+            out.append((r.posterior, r.kind == w.kind and abs(r.amount / w.amount - 1) < 1e-3, r.uncertain))
+    return out
+
+
+def test_hidden_units_and_reliability(spark):
+    """Of the table's own cells: right as often as the posterior says, in bins, and nearly always where it isn't flagged."""
+    out = hidden_units(spark, "/root/testdata/sf0.01")
+    assert len(out) > 100
+    assert np.mean([right for _, right, _ in out]) > 0.8
+    sure = [right for _, right, uncertain in out if not uncertain]
+    assert len(sure) > 0.4 * len(out) and np.mean(sure) > 0.95
+    for low, high in ((0, 0.7), (0.7, 0.9), (0.9, 0.99), (0.99, 1.01)):
+        part = [(p, right) for p, right, _ in out if low <= p < high]
+        if len(part) >= 20:
+            assert abs(np.mean([p for p, _ in part]) - np.mean([right for _, right in part])) < 0.15
+
+
+def test_hot_name_and_unsized_parameters(spark):
+    hot = [("tSU", f"{10 + i % 90}", None, None, "ns" if i % 2 else None, None) for i in range(900)]
+    rare = [("tZ", "0", None, None, None, None), ("tN", "-5", None, None, None, None), (None, "7", None, None, None, None)]
+    got = {r.record_id: r for r in Q.common_units(table(spark, *hot, *rare), "param_id", FIELDS, "unit", "name", "description").collect()}
+    assert len(got) == 903 and all(got[i].kind == "time" and got[i].amount == (10 + i % 90) * 1000 for i in range(900))
+    assert got[900].kind in ("time", "frequency") and got[901].uncertain and got[902].uncertain
