@@ -184,4 +184,19 @@ def oracle_sql() -> dict[str, str]:
             dw AS (SELECT id, array_to_string(list_slice(w, k, k + 11), ' ') AS s FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),
             iw AS (SELECT id, array_to_string(list_slice(w, k, k + 11), ' ') AS s FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS k FROM i))
             SELECT DISTINCT dw.id AS doc_id, iw.id AS item_id FROM dw JOIN iw USING (s)""",
+        "p6_leaks": r"""
+            WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+            i AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+            v AS (SELECT word, chr(CAST(19968 + row_number() OVER (ORDER BY word) AS INT)) AS c FROM (SELECT DISTINCT unnest(w) AS word FROM i)),
+            ds AS (SELECT id, string_agg(coalesce(c, '.'), '' ORDER BY pos) AS s FROM (SELECT id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d) LEFT JOIN v USING (word) GROUP BY id),
+            si AS (SELECT id, string_agg(c, '' ORDER BY pos) AS s FROM (SELECT id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM i) JOIN v USING (word) GROUP BY id),
+            dg AS (SELECT id, s, p, substr(s, p, 4) AS g FROM (SELECT id, s, unnest(range(1, length(s) - 2)) AS p FROM ds)),
+            ig AS (SELECT id, s, p, substr(s, p, 4) AS g FROM (SELECT id, s, unnest(range(1, length(s) - 2)) AS p FROM si)),
+            m AS (SELECT dg.id AS doc_id, ig.id AS item_id, dg.s AS ds, ig.s AS si, dg.p AS dp, ig.p AS ip FROM dg JOIN ig USING (g)),
+            w AS (SELECT DISTINCT doc_id, item_id, ds, si, dp - o - h AS a, ip - o AS b FROM m, (SELECT unnest([0, 4, 8]) AS o), (SELECT unnest([-2, -1, 0, 1, 2]) AS h)),
+            z AS (SELECT doc_id, item_id, string_split(substr(ds, a, 12), '') AS x, string_split(substr(si, b, 12), '') AS y FROM w WHERE a >= 1 AND b >= 1 AND a + 11 <= length(ds) AND b + 11 <= length(si)),
+            t AS (SELECT doc_id, item_id, array_to_string(list_transform(x, lambda c: chr(CAST(97 + coalesce(list_position(y, c), 0) AS INT))), '') AS x, array_to_string(list_transform(y, lambda c: chr(CAST(97 + list_position(y, c) AS INT))), '') AS y FROM z),
+            l AS (SELECT doc_id, item_id, levenshtein(x, y) AS distance FROM t),
+            n AS (SELECT doc_id, item_id, distance, count(*) AS windows FROM l WHERE distance <= 2 GROUP BY ALL)
+            SELECT doc_id, item_id, CAST(distance AS INT) AS distance, windows FROM n QUALIFY distance = min(distance) OVER (PARTITION BY doc_id, item_id)""",
     }

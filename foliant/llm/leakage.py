@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.plans.skew import union_all
 
 _WORD = re.compile(r"[^\W_]+")
-#: Item windows that are sent to the executors at a time; more are taken in further blocks, each against all documents.
-BLOCK = 200_000
+#: Different item windows in one broadcast block, and blocks that are searched in one pass over the documents; more take further passes.
+BLOCK, BLOCKS_A_PASS = 50_000, 8
+#: Words of a text that are searched at a time, and candidates that are verified at a time. They bound memory, not results.
+_WORDS, _CANDIDATES = 250_000, 1_000_000
 
 
 def words(text: str) -> list[str]:
@@ -24,19 +28,33 @@ def words(text: str) -> list[str]:
 
 @dataclass
 class _Block:
-    """The searched windows of a block of items, and the random choices that embed and sample them."""
+    """Different windows of a block of items, who has them, and the random choices that embed and sample them."""
 
     vocabulary: dict[str, int]
-    tokens: np.ndarray
-    owner: np.ndarray
-    steps: np.ndarray
+    tokens: np.ndarray  # one row for each window
+    owners: np.ndarray  # items, those of one window together
+    times: np.ndarray  # how often the item has the window
+    first: np.ndarray  # where each window's owners begin
+    grams: np.ndarray  # numbers of the windows' runs of so many words that one of them survives the edits
+    steps: np.ndarray  # bit r: whether repetition r moves on at this step over this word
     sampled: np.ndarray
     mix: np.ndarray
     keys: list[np.ndarray]
     order: list[np.ndarray]
 
 
-def _embedded_key(tokens: np.ndarray, starts: np.ndarray, width: int, steps: np.ndarray, sampled: np.ndarray, mix: np.ndarray, pad: int) -> np.ndarray:
+def _gram(x: np.ndarray, size: int) -> np.ndarray:
+    """A number for each run of ``size`` words of ``x``; 0 for one with an unknown word."""
+    n = max(0, len(x) - size + 1)
+    out, known = np.zeros(n, dtype=np.uint64), np.ones(n, dtype=bool)
+    for i in range(size):
+        out = (out ^ x[i : i + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+        known &= x[i : i + n] > 0
+    return np.where(known, out | np.uint64(1), np.uint64(0))
+
+
+def _embedded_key(tokens: np.ndarray, starts: np.ndarray, width: int, steps: np.ndarray, repeat: int, sampled: np.ndarray, mix: np.ndarray, pad: int) -> np.ndarray:
     """The bucket of each window: its CGK random walk, sampled at a few of its 3·width positions.
 
     The walk writes the token under its pointer and then moves the pointer on by a random bit that depends on the
@@ -51,7 +69,7 @@ def _embedded_key(tokens: np.ndarray, starts: np.ndarray, width: int, steps: np.
             key ^= (token.astype(np.uint64) + np.uint64(1)) * mix[step]
             key *= np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(31)
-        at += steps[step, token]
+        at += ((steps[step, token] >> np.uint64(repeat)) & np.uint64(1)).astype(np.int32)
     return key
 
 
@@ -67,117 +85,163 @@ def edit_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return row[:, w]
 
 
-def _block(items: list[tuple[int, list[str]]], width: int, repeats: int, samples: int, seed: int) -> _Block:
+def _block(windows: dict[tuple[str, ...], Counter[int]], width: int, edits: int, repeats: int, samples: int, seed: int) -> _Block:
     vocabulary: dict[str, int] = {}
-    tokens, owner = [], []
-    for item, text in items:
-        ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in text]
-        for at in range(len(ids) - width + 1):
-            tokens.append(ids[at : at + width])
-            owner.append(item)
+    matrix = np.array([[vocabulary.setdefault(w, len(vocabulary) + 1) for w in window] for window in windows], dtype=np.int32).reshape(-1, width)
+    owners = [(item, n) for c in windows.values() for item, n in c.items()]
+    first = np.cumsum([0, *(len(c) for c in windows.values())])
     rng = np.random.default_rng(seed)
-    steps = rng.integers(0, 2, size=(repeats, 3 * width, len(vocabulary) + 2)).astype(np.int32)
+    steps = rng.integers(0, 2**64, size=(3 * width, len(vocabulary) + 2), dtype=np.uint64)
     sampled = np.stack([np.sort(rng.choice(3 * width, samples, replace=False)) for _ in range(repeats)])
     mix = rng.integers(1, 2**63, size=3 * width, dtype=np.uint64) | np.uint64(1)
-    matrix = np.array(tokens, dtype=np.int32).reshape(-1, width)
     flat, starts = matrix.reshape(-1), np.arange(len(matrix)) * width
+    size = max(1, width // (edits + 1))
+    grams = np.unique(np.concatenate([_gram(np.ascontiguousarray(matrix[:, i : i + size]).reshape(-1), size)[::size] for i in range(width - size + 1)]))
     keys, order = [], []
     for r in range(repeats):
-        k = _embedded_key(flat, starts, width, steps[r], sampled[r], mix, len(vocabulary) + 1)
-        order.append(np.argsort(k, kind="stable"))
+        k = _embedded_key(flat, starts, width, steps, r, sampled[r], mix, len(vocabulary) + 1)
+        order.append(np.argsort(k, kind="stable").astype(np.int32))
         keys.append(k[order[-1]])
-    return _Block(vocabulary, matrix, np.array(owner, dtype=np.int64), steps, sampled, mix, keys, order)
+    return _Block(vocabulary, matrix, np.array([i for i, _ in owners], dtype=np.int64), np.array([n for _, n in owners], dtype=np.int64), first, grams, steps, sampled, mix, keys, order)
 
 
-def _search(block: _Block, docs: list[int], texts: list[str], width: int, edits: int) -> list[tuple[int, int, int, int]]:
-    """(document, item, least edit distance of the item's windows to any window of the text, windows that reach it)."""
+def _candidates(block: _Block, x: np.ndarray, starts: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """(start, window) pairs that share a bucket in some repetition, each once, in parts of about ``_CANDIDATES``."""
+    low, n = [], []
+    for r in range(len(block.keys)):
+        k = _embedded_key(x, starts, width, block.steps, r, block.sampled[r], block.mix, len(block.vocabulary) + 1)
+        low.append(np.searchsorted(block.keys[r], k, "left"))
+        n.append(np.searchsorted(block.keys[r], k, "right") - low[-1])
+    upto = np.cumsum(np.sum(n, axis=0))
+    part = upto // _CANDIDATES
+    for p in np.unique(part):
+        rows = np.flatnonzero(part == p)
+        codes = []
+        for r in range(len(block.keys)):
+            m = n[r][rows]
+            at = np.repeat(starts[rows], m)
+            w = block.order[r][np.repeat(low[r][rows], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+            codes.append(np.unique(at * len(block.tokens) + w))
+        code = np.unique(np.concatenate(codes))
+        yield np.stack([code // len(block.tokens), code % len(block.tokens)])
+
+
+def _search(block: _Block, docs: list[int], texts: list[list[str]], width: int, edits: int) -> dict[tuple[int, int], tuple[int, int]]:
+    """(document, item) → (least edit distance of the item's windows to any window of the text, pairs of windows at that distance)."""
     get = block.vocabulary.get
-    tokens = [np.fromiter((get(w, 0) for w in words(t)), dtype=np.int32) for t in texts]
+    tokens = [np.fromiter((get(w, 0) for w in t), dtype=np.int32, count=len(t)) for t in texts]
     size = np.array([len(t) for t in tokens])
     x = np.concatenate([*tokens, np.zeros(width, dtype=np.int32)])
     known = np.concatenate(([0], np.cumsum(x > 0)))
     # a window with more unknown words than edits can't be within so many edits of an item
     near = known[width:] - known[:-width] >= width - edits
+    # nor can one without a run of words that is an item's: so many edits leave one of edits + 1 parts of the item's window whole
+    run = max(1, width // (edits + 1))
+    grams = _gram(x, run)
+    place = np.minimum(np.searchsorted(block.grams, grams), len(block.grams) - 1)
+    kept = np.concatenate(([0], np.cumsum(block.grams[place] == grams)))
+    near[: len(x) - width] &= kept[width - run + 1 :][: len(x) - width] > kept[: len(x) - width]
     ends = np.cumsum(size)
     for end, n in zip(ends.tolist(), size.tolist(), strict=True):  # nor may a window run into the next text
         near[max(end - width + 1, end - n) : end] = False
     starts = np.flatnonzero(near[: len(x) - width])
-    if not len(starts):
-        return []
-    pairs = np.empty((2, 0), dtype=np.int64)
-    for r in range(len(block.keys)):
-        k = _embedded_key(x, starts, width, block.steps[r], block.sampled[r], block.mix, len(block.vocabulary) + 1)
-        low = np.searchsorted(block.keys[r], k, "left")
-        n = np.searchsorted(block.keys[r], k, "right") - low
-        if n.any():
-            at = np.repeat(starts, n)
-            w = block.order[r][np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            pairs = np.concatenate([pairs, np.stack([at, w])], axis=1)
-    code = np.unique(pairs[0] * len(block.tokens) + pairs[1])
     best: dict[tuple[int, int], tuple[int, int]] = {}
-    for part in np.array_split(code, len(code) // 50_000 + 1):
-        at, w = part // len(block.tokens), part % len(block.tokens)
-        d = edit_distance(x[at[:, None] + np.arange(width)], block.tokens[w])
-        ok = d <= edits
-        whose = np.searchsorted(ends, at[ok], "right")
-        for doc, item, dist in zip(whose.tolist(), block.owner[w[ok]].tolist(), d[ok].tolist(), strict=True):
-            old = best.get((doc, item), (edits + 1, 0))
-            best[doc, item] = (dist, 1) if dist < old[0] else (dist, old[1] + 1) if dist == old[0] else old
-    return [(docs[doc], item, dist, n) for (doc, item), (dist, n) in best.items()]
-
-
-def _batches(batch: pa.RecordBatch, most: int = 1_500_000) -> Iterator[tuple[list[int], list[str]]]:
-    """The rows of a batch in groups of about ``most`` characters, so that memory is bounded however long texts are."""
+    for chunk in np.array_split(starts, len(starts) // 50_000 + 1):
+        if not len(chunk):
+            continue
+        for at, w in _candidates(block, x, chunk, width):
+            for i in range(0, len(at), 50_000):
+                a, b = at[i : i + 50_000], w[i : i + 50_000]
+                d = edit_distance(x[a[:, None] + np.arange(width)], block.tokens[b])
+                ok = d <= edits
+                whose = np.searchsorted(ends, a[ok], "right")
+                for doc, window, dist in zip(whose.tolist(), b[ok].tolist(), d[ok].tolist(), strict=True):
+                    for k in range(block.first[window], block.first[window + 1]):
+                        key, n = (docs[doc], int(block.owners[k])), int(block.times[k])
+                        old = best.get(key, (edits + 1, 0))
+                        best[key] = (dist, n) if dist < old[0] else (dist, old[1] + n) if dist == old[0] else old
+    return best
+
+
+def _batches(batch: pa.RecordBatch, width: int) -> Iterator[tuple[list[int], list[list[str]]]]:
+    """Row numbers and words of a batch's rows in groups of about ``_WORDS``, so that memory is bounded however long texts are.
+
+    A longer text comes in pieces that overlap by a window less one word: each of its windows lies in one piece.
+    """
     docs, texts, size = [], [], 0
-    for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        docs.append(d)
-        texts.append(t)
-        size += len(t)
-        if size >= most:
-            yield docs, texts
-            docs, texts, size = [], [], 0
+    for d, t in enumerate(batch.column(1).to_pylist()):
+        every = words(t)
+        for at in range(0, max(1, len(every) - width + 1), _WORDS):
+            docs.append(d)
+            texts.append(every[at : at + _WORDS + width - 1] if len(every) > _WORDS else every)
+            size += len(texts[-1])
+            if size >= _WORDS:
+                yield docs, texts
+                docs, texts, size = [], [], 0
     if docs:
         yield docs, texts
 
 
-def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, width: int = 12, edits: int = 2, repeats: int = 24, samples: int = 9, seed: int = 6) -> DataFrame:
+def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, width: int = 12, edits: int = 2, repeats: int = 64, samples: int = 9, seed: int = 6) -> DataFrame:
     """(doc_id, item_id, distance, windows): documents that hold a run of ``width`` words of an item with at most ``edits`` edits.
 
+    distance is the least edit distance over words between a window of the text and one of the item, windows the number of such pairs.
     Words are maximal runs of letters and digits in any case. An unedited run is always found: equal windows
-    have equal embeddings and so share every bucket. A run with one or two words replaced, inserted or left out is
-    found with the probability that one of ``repeats`` samples of ``samples`` of the 3·width embedded positions meets no
-    difference; every candidate is verified by its exact edit distance over words. Items shorter than ``width`` words
-    leak nowhere; null texts and ids have no words; a document or item given twice counts once; no items or no
+    have equal embeddings and so share every bucket. A run with words replaced, inserted or left out is found with the
+    probability that one of ``repeats`` (at most 64) samples of ``samples`` of the 3·width embedded positions meets no
+    difference; every candidate is verified by its exact edit distance. Windows that cannot be within ``edits`` of an item, because
+    too few of their words are known or no run of width/(edits + 1) of them is an item's, are not embedded. Items shorter than
+    ``width`` words leak nowhere; null texts and ids have no words; a document or item given twice counts once; no items or no
     documents give no rows. Documents are only scanned: nothing of them is shuffled but the found pairs. The
-    items are the query set: their windows go to the executors in blocks of at most ``BLOCK``, one pass over the documents each.
+    items are the query set: their different windows go to the executors in blocks of at most ``BLOCK``, ``BLOCKS_A_PASS`` for each scan.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(f"`{doc}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")).dropna()
     schema = "doc_id bigint, item_id bigint, distance int, windows bigint"
 
-    def passes(block: _Block) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)
-
+    def searched(blocks: list[Broadcast]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            b = shared.value
             for batch in batches:
-                rows = [row for docs, texts in _batches(batch) for row in _search(b, docs, texts, width, edits)]
+                # pieces of one text follow each other, so sums over a batch are sums over whole texts
+                best: dict[tuple[int, int], tuple[int, int]] = {}
+                for ids, texts in _batches(batch, width):
+                    for b in blocks:
+                        for key, (dist, n) in _search(b.value, ids, texts, width, edits).items():
+                            old = best.get(key, (edits + 1, 0))
+                            best[key] = (dist, n) if dist < old[0] else (dist, old[1] + n) if dist == old[0] else old
+                name = batch.column(0).to_pylist()
+                rows = [(name[row], item, dist, n) for (row, item), (dist, n) in best.items()]
                 cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "item_id", "distance", "windows"])
 
         return base.mapInArrow(run, schema)
 
-    parts, now, size = [], [], 0
+    parts: list[DataFrame] = []
+    blocks: list[Broadcast] = []
+    now: dict[tuple[str, ...], Counter[int]] = {}
+
+    def flush(last: bool = False) -> None:
+        nonlocal now, blocks
+        if now:
+            blocks.append(spark.sparkContext.broadcast(_block(now, width, edits, repeats, samples, seed)))
+            now = {}
+        if blocks and (last or len(blocks) >= BLOCKS_A_PASS):
+            parts.append(searched(blocks).withColumn("part", F.lit(len(parts))))
+            blocks = []
+
     queries = items.select(F.col(f"`{item}`").cast("bigint").alias("i"), F.col(f"`{item_text}`").alias("t")).dropna().distinct().orderBy("i")
     for row in queries.toLocalIterator():
         text_words = words(row.t)
-        if len(text_words) >= width:
-            now.append((row.i, text_words))
-            size += len(text_words) - width + 1
-        if size >= BLOCK:
-            parts.append(passes(_block(now, width, repeats, samples, seed)))
-            now, size = [], 0
-    if now:
-        parts.append(passes(_block(now, width, repeats, samples, seed)))
-    found = union_all(parts) if parts else spark.createDataFrame([], schema)
-    return found.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", (-F.col("windows")).alias("w"))).alias("b")).select("doc_id", "item_id", "b.distance", (-F.col("b.w")).alias("windows"))
+        for at in range(len(text_words) - width + 1):
+            now.setdefault(tuple(text_words[at : at + width]), Counter())[row.i] += 1
+        if len(now) >= BLOCK:
+            flush()
+    flush(last=True)
+    if not parts:
+        return spark.createDataFrame([], schema)
+    best = lambda d, *by: d.groupBy(*by).agg(F.min(F.struct("distance", (-F.col("windows")).alias("w"))).alias("b")).select(*by, "b.distance", (-F.col("b.w")).alias("windows"))
+    found = best(union_all(parts), "part", "doc_id", "item_id")
+    if len(parts) > 1:  # passes search for different windows, so their pairs add up
+        found = found.groupBy("doc_id", "item_id", "distance").agg(F.sum("windows").alias("windows"))
+        found = best(found, "doc_id", "item_id")
+    return found.select("doc_id", "item_id", "distance", "windows")

@@ -1,7 +1,9 @@
 import inspect
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from foliant.llm import leakage as L
@@ -58,9 +60,12 @@ def test_recall_of_edited_passages(spark):
 
 def test_blocks_and_empty(spark, monkeypatch):
     monkeypatch.setattr(L, "BLOCK", 5)
+    monkeypatch.setattr(L, "BLOCKS_A_PASS", 2)
     items = [(i, " ".join(f"a{i}b{k}" for k in range(14))) for i in range(7)]
     docs = [(i, t) for i, t in items]
-    assert rows(leaks(spark, docs, items), "doc_id", "item_id") == [(i, i) for i in range(7)]
+    assert rows(leaks(spark, docs, items)) == [(i, i, 0, 3) for i in range(7)]
+    shared = " ".join(f"a3b{k}" for k in range(12))  # another item's first window, in another pass
+    assert rows(leaks(spark, docs, [*items, (9, shared + " x " + shared)]).filter("item_id = 9")) == [(3, 9, 0, 2)]
     assert leaks(spark, [], items).count() == 0 and leaks(spark, docs, []).count() == 0 and leaks(spark, docs, [(1, "too short")]).count() == 0
 
 
@@ -96,6 +101,58 @@ def test_recall_at_the_bound():
         for _, w in items:
             a, b = rng.sample(range(1, 11), 2)
             docs.append(" ".join(["left"] * 6 + ["new" if k in (a, b) else x for k, x in enumerate(w)] + ["right"] * 6))
-        block = L._block(items, 12, given["repeats"], given["samples"], seed)
-        found = {d for d, i, *_ in L._search(block, list(range(400)), docs, 12, 2) if d == i}
-        assert len(found) / len(items) >= 0.93
+        block = L._block({tuple(w): Counter({i: 1}) for i, w in items}, 12, 2, given["repeats"], given["samples"], seed)
+        found = {d for d, i in L._search(block, list(range(400)), [t.split() for t in docs], 12, 2) if d == i}
+        assert len(found) / len(items) >= 0.99
+
+
+def brute(docs, items, width=12, edits=2):
+    def distance(x, y):
+        d = list(range(len(y) + 1))
+        for i, a in enumerate(x, 1):
+            d, last = [i], d
+            for j, b in enumerate(y, 1):
+                d.append(min(d[-1] + 1, last[j] + 1, last[j - 1] + (a != b)))
+        return d[-1]
+
+    out = []
+    for d, t in docs:
+        x = L.words(t)
+        for i, u in items:
+            y = L.words(u)
+            found = Counter(distance(x[a : a + width], y[b : b + width]) for a in range(len(x) - width + 1) for b in range(len(y) - width + 1) if len(set(x[a : a + width]) & set(y[b : b + width])) > width // 3)
+            if found and min(found) <= edits:
+                out.append((d, i, min(found), found[min(found)]))
+    return sorted(out, key=repr)
+
+
+def test_edited_passages_against_brute_force(spark):
+    """Every edited passage with its distance and its pairs of windows."""
+    rng = random.Random(8)
+    items = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.randrange(12, 20)))) for i in range(12)]
+    docs = []
+    for d in range(40):
+        w = rng.choice(items)[1].split()
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(w))
+            w[k : k + rng.randrange(2)] = ["new"] * rng.randrange(2)
+        docs.append((d, " ".join(["left"] * rng.randrange(4) + w + ["right"] * rng.randrange(4))))
+    want = brute(docs, items)
+    assert len({r[2] for r in want}) == 3
+    assert rows(leaks(spark, docs, items)) == want
+
+
+def test_pieces_of_a_long_text(spark, monkeypatch):
+    """Windows at the seams of a text that is searched in pieces count once."""
+    item = " ".join(WORDS[:15])
+    text = " ".join([*WORDS[20:50], item, *WORDS[20:31], item])
+    b = pa.record_batch([pa.array([7]), pa.array([text])], names=["d", "t"])
+    block = L._block({tuple(WORDS[k : k + 12]): Counter({5: 1}) for k in range(4)}, 12, 0, 64, 9, 6)
+    for most in (5, 13, 40, 1000):
+        monkeypatch.setattr(L, "_WORDS", most)
+        total = Counter()
+        for rows_, texts in L._batches(b, 12):
+            for key, (dist, n) in L._search(block, rows_, texts, 12, 0).items():
+                assert dist == 0
+                total[key] += n
+        assert total == {(0, 5): 8}
