@@ -35,7 +35,7 @@ class _Block:
     owners: np.ndarray  # items, those of one window together
     times: np.ndarray  # how often the item has the window
     first: np.ndarray  # where each window's owners begin
-    grams: np.ndarray  # numbers of the windows' runs of so many words that one of them survives the edits
+    grams: list[np.ndarray]  # numbers of the windows' runs of 2, 3, ... words, up to those of which one survives all edits
     steps: np.ndarray  # bit r: whether repetition r moves on at this step over this word
     sampled: np.ndarray
     mix: np.ndarray
@@ -54,22 +54,33 @@ def _gram(x: np.ndarray, size: int) -> np.ndarray:
     return np.where(known, out | np.uint64(1), np.uint64(0))
 
 
-def _embedded_key(tokens: np.ndarray, starts: np.ndarray, width: int, steps: np.ndarray, repeat: int, sampled: np.ndarray, mix: np.ndarray, pad: int) -> np.ndarray:
-    """The bucket of each window: its CGK random walk, sampled at a few of its 3·width positions.
+def _padded(matrix: np.ndarray, pad: int) -> np.ndarray:
+    """Windows with room behind for a pointer that has run off their end."""
+    n, width = matrix.shape
+    out = np.full((n, 3 * width), pad, dtype=np.int32)
+    out[:, :width] = matrix
+    return out
+
+
+def _embedded_key(padded: np.ndarray, steps: np.ndarray, repeat: int, sampled: np.ndarray, mix: np.ndarray) -> np.ndarray:
+    """The bucket of each window: its CGK random walk, sampled at a few of its positions.
 
     The walk writes the token under its pointer and then moves the pointer on by a random bit that depends on the
     step and the token alone, so that equal remainders fall into step again after an edit.
     """
-    at = np.zeros(len(starts), dtype=np.int32)
-    key = np.zeros(len(starts), dtype=np.uint64)
+    flat, at = padded.reshape(-1), np.arange(len(padded), dtype=np.int64) * padded.shape[1]
+    key = np.zeros(len(padded), dtype=np.uint64)
+    token = np.empty(len(padded), dtype=np.int32)
+    move = np.empty(len(padded), dtype=np.int64)
     wanted = set(sampled.tolist())
     for step in range(int(sampled.max()) + 1):
-        token = np.where(at < width, tokens[starts + np.minimum(at, width - 1)], pad)
+        np.take(flat, at, out=token, mode="clip")
         if step in wanted:
             key ^= (token.astype(np.uint64) + np.uint64(1)) * mix[step]
             key *= np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(31)
-        at += ((steps[step, token] >> np.uint64(repeat)) & np.uint64(1)).astype(np.int32)
+        moves = ((steps[step] >> np.uint64(repeat)) & np.uint64(1)).astype(np.int64)
+        at += np.take(moves, token, out=move, mode="clip")
     return key
 
 
@@ -91,15 +102,17 @@ def _block(windows: dict[tuple[str, ...], Counter[int]], width: int, edits: int,
     owners = [(item, n) for c in windows.values() for item, n in c.items()]
     first = np.cumsum([0, *(len(c) for c in windows.values())])
     rng = np.random.default_rng(seed)
-    steps = rng.integers(0, 2**64, size=(3 * width, len(vocabulary) + 2), dtype=np.uint64)
-    sampled = np.stack([np.sort(rng.choice(3 * width, samples, replace=False)) for _ in range(repeats)])
-    mix = rng.integers(1, 2**63, size=3 * width, dtype=np.uint64) | np.uint64(1)
-    flat, starts = matrix.reshape(-1), np.arange(len(matrix)) * width
-    size = max(1, width // (edits + 1))
-    grams = np.unique(np.concatenate([_gram(np.ascontiguousarray(matrix[:, i : i + size]).reshape(-1), size)[::size] for i in range(width - size + 1)]))
+    steps = rng.integers(0, 2**64, size=(2 * width, len(vocabulary) + 2), dtype=np.uint64)
+    # one position of each of ``samples`` equal parts: sampled at will, a repetition may see little but the walk's end
+    edges = np.linspace(0, 2 * width, samples + 1).astype(int)
+    sampled = np.stack([rng.integers(edges[:-1], edges[1:]) for _ in range(repeats)])
+    mix = rng.integers(1, 2**63, size=2 * width, dtype=np.uint64) | np.uint64(1)
+    padded = _padded(matrix, len(vocabulary) + 1)
+    runs = lambda g: np.concatenate([_gram(np.ascontiguousarray(matrix[:, i : i + g]).reshape(-1), g)[::g] for i in range(width - g + 1)])
+    grams = [np.unique(runs(g)) for g in range(2, width // (edits + 1) + 1)]
     keys, order = [], []
     for r in range(repeats):
-        k = _embedded_key(flat, starts, width, steps, r, sampled[r], mix, len(vocabulary) + 1)
+        k = _embedded_key(padded, steps, r, sampled[r], mix)
         order.append(np.argsort(k, kind="stable").astype(np.int32))
         keys.append(k[order[-1]])
     return _Block(vocabulary, matrix, np.array([i for i, _ in owners], dtype=np.int64), np.array([n for _, n in owners], dtype=np.int64), first, grams, steps, sampled, mix, keys, order)
@@ -108,10 +121,13 @@ def _block(windows: dict[tuple[str, ...], Counter[int]], width: int, edits: int,
 def _candidates(block: _Block, x: np.ndarray, starts: np.ndarray, width: int) -> Iterator[np.ndarray]:
     """(start, window) pairs that share a bucket in some repetition, each once, in parts of about ``_CANDIDATES``."""
     low, n = [], []
+    padded = _padded(x[starts[:, None] + np.arange(width)], len(block.vocabulary) + 1)
     for r in range(len(block.keys)):
-        k = _embedded_key(x, starts, width, block.steps, r, block.sampled[r], block.mix, len(block.vocabulary) + 1)
-        low.append(np.searchsorted(block.keys[r], k, "left"))
-        n.append(np.searchsorted(block.keys[r], k, "right") - low[-1])
+        k = _embedded_key(padded, block.steps, r, block.sampled[r], block.mix)
+        low.append(np.searchsorted(block.keys[r], k))
+        hit = np.flatnonzero(block.keys[r][np.minimum(low[-1], len(block.tokens) - 1)] == k)
+        n.append(np.zeros(len(starts), dtype=np.int64))
+        n[-1][hit] = np.searchsorted(block.keys[r], k[hit], "right") - low[-1][hit]
     upto = np.cumsum(np.sum(n, axis=0))
     part = upto // _CANDIDATES
     for p in np.unique(part):
@@ -133,14 +149,14 @@ def _search(block: _Block, docs: list[int], texts: list[list[str]], width: int,
     size = np.array([len(t) for t in tokens])
     x = np.concatenate([*tokens, np.zeros(width, dtype=np.int32)])
     known = np.concatenate(([0], np.cumsum(x > 0)))
-    # a window with more unknown words than edits can't be within so many edits of an item
+    # a window within so many edits of an item's has at least width - g + 1 - g * edits of its runs of g words in common with it
     near = known[width:] - known[:-width] >= width - edits
-    # nor can one without a run of words that is an item's: so many edits leave one of edits + 1 parts of the item's window whole
-    run = max(1, width // (edits + 1))
-    grams = _gram(x, run)
-    place = np.minimum(np.searchsorted(block.grams, grams), len(block.grams) - 1)
-    kept = np.concatenate(([0], np.cumsum(block.grams[place] == grams)))
-    near[: len(x) - width] &= kept[width - run + 1 :][: len(x) - width] > kept[: len(x) - width]
+    last = len(x) - width
+    for g, grams in enumerate(block.grams, 2):
+        numbers = _gram(x, g)
+        place = np.minimum(np.searchsorted(grams, numbers), len(grams) - 1)
+        upto = np.concatenate(([0], np.cumsum(grams[place] == numbers)))
+        near[:last] &= upto[width - g + 1 :][:last] - upto[:last] >= width - g + 1 - g * edits
     ends = np.cumsum(size)
     for end, n in zip(ends.tolist(), size.tolist(), strict=True):  # nor may a window run into the next text
         near[max(end - width + 1, end - n) : end] = False
@@ -152,7 +168,10 @@ def _search(block: _Block, docs: list[int], texts: list[list[str]], width: int,
         for at, w in _candidates(block, x, chunk, width):
             for i in range(0, len(at), 50_000):
                 a, b = at[i : i + 50_000], w[i : i + 50_000]
-                d = edit_distance(x[a[:, None] + np.arange(width)], block.tokens[b])
+                found, wanted = x[a[:, None] + np.arange(width)], block.tokens[b]
+                shared = (found[:, :, None] == wanted[:, None, :]).any(axis=2).sum(axis=1) >= width - edits
+                a, b = a[shared], b[shared]
+                d = edit_distance(found[shared], wanted[shared])
                 ok = d <= edits
                 whose = np.searchsorted(ends, a[ok], "right")
                 for doc, window, dist in zip(whose.tolist(), b[ok].tolist(), d[ok].tolist(), strict=True):
@@ -182,15 +201,15 @@ def _batches(batch: pa.RecordBatch, width: int) -> Iterator[tuple[list[int], lis
         yield docs, texts
 
 
-def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, width: int = 12, edits: int = 2, repeats: int = 64, samples: int = 9, seed: int = 6) -> DataFrame:
+def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, width: int = 12, edits: int = 2, repeats: int = 64, samples: int = 6, seed: int = 6) -> DataFrame:
     """(doc_id, item_id, distance, windows): documents that hold a run of ``width`` words of an item with at most ``edits`` edits.
 
     distance is the least edit distance over words between a window of the text and one of the item, windows the number of such pairs.
     Words are maximal runs of letters and digits in any case. An unedited run is always found: equal windows
     have equal embeddings and so share every bucket. A run with words replaced, inserted or left out is found with the
-    probability that one of ``repeats`` (at most 64) samples of ``samples`` of the 3·width embedded positions meets no
-    difference; every candidate is verified by its exact edit distance. Windows that cannot be within ``edits`` of an item, because
-    too few of their words are known or no run of width/(edits + 1) of them is an item's, are not embedded. Items shorter than
+    probability that one of ``repeats`` (at most 64) samples of ``samples`` of the first 2·width embedded positions (a walk
+    is over by then, as a rule) meets no difference; every candidate is verified by its exact edit distance. Windows that cannot be within ``edits`` of an item, because
+    too few of their words, or of their runs of two and more words, are an item's, are not embedded. Items shorter than
     ``width`` words leak nowhere; null texts and ids have no words; a document or item given twice counts once; no items or no
     documents give no rows. Documents are only scanned: nothing of them is shuffled but the found pairs. The
     items are the query set: their different windows go to the executors in blocks of at most ``BLOCK``, ``BLOCKS_A_PASS`` for each scan.

@@ -147,7 +147,7 @@ def test_pieces_of_a_long_text(spark, monkeypatch):
     item = " ".join(WORDS[:15])
     text = " ".join([*WORDS[20:50], item, *WORDS[20:31], item])
     b = pa.record_batch([pa.array([7]), pa.array([text])], names=["d", "t"])
-    block = L._block({tuple(WORDS[k : k + 12]): Counter({5: 1}) for k in range(4)}, 12, 0, 64, 9, 6)
+    block = L._block({tuple(WORDS[k : k + 12]): Counter({5: 1}) for k in range(4)}, 12, 0, 64, 6, 6)
     for most in (5, 13, 40, 1000):
         monkeypatch.setattr(L, "_WORDS", most)
         total = Counter()
