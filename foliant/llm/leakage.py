@@ -119,7 +119,7 @@ def _block(windows: dict[tuple[str, ...], Counter[int]], width: int, edits: int,
 
 
 def _candidates(block: _Block, x: np.ndarray, starts: np.ndarray, width: int) -> Iterator[np.ndarray]:
-    """(start, window) pairs that share a bucket in some repetition, each once, in parts of about ``_CANDIDATES``."""
+    """Pairs that share a bucket in some repetition, as start * number of windows + window, each once, in parts of about ``_CANDIDATES``."""
     low, n = [], []
     padded = _padded(x[starts[:, None] + np.arange(width)], len(block.vocabulary) + 1)
     for r in range(len(block.keys)):
@@ -137,15 +137,16 @@ def _candidates(block: _Block, x: np.ndarray, starts: np.ndarray, width: int) ->
             m = n[r][rows]
             at = np.repeat(starts[rows], m)
             w = block.order[r][np.repeat(low[r][rows], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
-            codes.append(np.unique(at * len(block.tokens) + w))
-        code = np.unique(np.concatenate(codes))
-        yield np.stack([code // len(block.tokens), code % len(block.tokens)])
+            codes.append(at * len(block.tokens) + w)
+        code = np.sort(np.concatenate(codes))
+        code = code[np.append(True, code[1:] != code[:-1])] if len(code) else code
+        yield code
 
 
 def _search(block: _Block, docs: list[int], texts: list[list[str]], width: int, edits: int) -> dict[tuple[int, int], tuple[int, int]]:
     """(document, item) → (least edit distance of the item's windows to any window of the text, pairs of windows at that distance)."""
     get = block.vocabulary.get
-    tokens = [np.fromiter((get(w, 0) for w in t), dtype=np.int32, count=len(t)) for t in texts]
+    tokens = [np.array([get(w, 0) for w in t], dtype=np.int32) for t in texts]
     size = np.array([len(t) for t in tokens])
     x = np.concatenate([*tokens, np.zeros(width, dtype=np.int32)])
     known = np.concatenate(([0], np.cumsum(x > 0)))
@@ -160,28 +161,67 @@ def _search(block: _Block, docs: list[int], texts: list[list[str]], width: int,
     ends = np.cumsum(size)
     for end, n in zip(ends.tolist(), size.tolist(), strict=True):  # nor may a window run into the next text
         near[max(end - width + 1, end - n) : end] = False
-    starts = np.flatnonzero(near[: len(x) - width])
-    best: dict[tuple[int, int], tuple[int, int]] = {}
+    near = near[: len(x) - width]
+    starts, n = np.flatnonzero(near), len(block.tokens)
+
+    def verified(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs (as start * n + window) that are within the edits, and their distances."""
+        kept, distances = [code[:0]], [np.zeros(0, dtype=np.int16)]
+        for i in range(0, len(code), 50_000):
+            part = code[i : i + 50_000]
+            found, wanted = x[(part // n)[:, None] + np.arange(width)], block.tokens[part % n]
+            shared = (found[:, :, None] == wanted[:, None, :]).any(axis=2).sum(axis=1) >= width - edits
+            d = edit_distance(found[shared], wanted[shared])
+            kept.append(part[shared][d <= edits])
+            distances.append(d[d <= edits])
+        return np.concatenate(kept), np.concatenate(distances)
+
+    codes, distances = [], []
     for chunk in np.array_split(starts, len(starts) // 50_000 + 1):
-        if not len(chunk):
-            continue
-        for at, w in _candidates(block, x, chunk, width):
-            for i in range(0, len(at), 50_000):
-                a, b = at[i : i + 50_000], w[i : i + 50_000]
-                found, wanted = x[a[:, None] + np.arange(width)], block.tokens[b]
-                shared = (found[:, :, None] == wanted[:, None, :]).any(axis=2).sum(axis=1) >= width - edits
-                a, b = a[shared], b[shared]
-                d = edit_distance(found[shared], wanted[shared])
-                ok = d <= edits
-                whose = np.searchsorted(ends, a[ok], "right")
-                for doc, window, dist in zip(whose.tolist(), b[ok].tolist(), d[ok].tolist(), strict=True):
-                    for k in range(block.first[window], block.first[window + 1]):
-                        key, n = (docs[doc], int(block.owners[k])), int(block.times[k])
-                        old = best.get(key, (edits + 1, 0))
-                        best[key] = (dist, n) if dist < old[0] else (dist, old[1] + n) if dist == old[0] else old
+        for code in _candidates(block, x, chunk, width) if len(chunk) else ():
+            code, d = verified(code)
+            codes.append(code)
+            distances.append(d)
+    if not sum(map(len, codes)):
+        return {}
+    # a passage has more than one pair of windows, as a rule: those beside a found one are verified too, whatever their buckets
+    new = np.unique(np.concatenate(codes))
+    seen = new
+    while len(new):
+        at, w = new // n, new % n
+        beside = [(at + i) * n + w + j for i, j in ((1, 1), (-1, -1), (1, 0), (-1, 0), (0, 1), (0, -1))]
+        ok = [(at + i >= 0) & (at + i < len(near)) & (w + j >= 0) & (w + j < n) for i, j in ((1, 1), (-1, -1), (1, 0), (-1, 0), (0, 1), (0, -1))]
+        tried = np.setdiff1d(np.concatenate([c[k] for c, k in zip(beside, ok, strict=True)]), seen)
+        new, d = verified(tried[near[tried // n]])
+        seen = np.union1d(seen, tried)
+        codes.append(new)
+        distances.append(d)
+    code, dist = np.concatenate(codes), np.concatenate(distances)
+    w = code % n
+    many = block.first[w + 1] - block.first[w]
+    owner = np.repeat(block.first[w], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    row, dist = np.repeat(np.searchsorted(ends, code // n, "right"), many), np.repeat(dist, many)
+    item, times = block.owners[owner], block.times[owner]
+    order = np.lexsort((dist, item, row))
+    row, item, dist, times = row[order], item[order], dist[order], times[order]
+    first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1])))
+    least = np.repeat(dist[first], np.diff(np.append(first, len(row))))
+    total = np.add.reduceat(np.where(dist == least, times, 0), first)
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    for r, i, d, t in zip(row[first].tolist(), item[first].tolist(), dist[first].tolist(), total.tolist(), strict=True):
+        _better(best, (docs[r], i), d, t)
     return best
 
 
+def _better(best: dict[tuple[int, int], tuple[int, int]], key: tuple[int, int], distance: int, pairs: int) -> None:
+    """Keep the least distance of a key, and the sum of the pairs at it."""
+    old = best.get(key)
+    if old is None or distance < old[0]:
+        best[key] = (distance, pairs)
+    elif distance == old[0]:
+        best[key] = (distance, old[1] + pairs)
+
+
 def _batches(batch: pa.RecordBatch, width: int) -> Iterator[tuple[list[int], list[list[str]]]]:
     """Row numbers and words of a batch's rows in groups of about ``_WORDS``, so that memory is bounded however long texts are.
 
@@ -201,14 +241,15 @@ def _batches(batch: pa.RecordBatch, width: int) -> Iterator[tuple[list[int], lis
         yield docs, texts
 
 
-def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, width: int = 12, edits: int = 2, repeats: int = 64, samples: int = 6, seed: int = 6) -> DataFrame:
+def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, width: int = 12, edits: int = 2, repeats: int = 48, samples: int = 6, seed: int = 6) -> DataFrame:
     """(doc_id, item_id, distance, windows): documents that hold a run of ``width`` words of an item with at most ``edits`` edits.
 
     distance is the least edit distance over words between a window of the text and one of the item, windows the number of such pairs.
     Words are maximal runs of letters and digits in any case. An unedited run is always found: equal windows
     have equal embeddings and so share every bucket. A run with words replaced, inserted or left out is found with the
     probability that one of ``repeats`` (at most 64) samples of ``samples`` of the first 2·width embedded positions (a walk
-    is over by then, as a rule) meets no difference; every candidate is verified by its exact edit distance. Windows that cannot be within ``edits`` of an item, because
+    is over by then, as a rule) meets no difference;
+    every candidate, and every pair of windows beside a found one, is verified by its exact edit distance. Windows that cannot be within ``edits`` of an item, because
     too few of their words, or of their runs of two and more words, are an item's, are not embedded. Items shorter than
     ``width`` words leak nowhere; null texts and ids have no words; a document or item given twice counts once; no items or no
     documents give no rows. Documents are only scanned: nothing of them is shuffled but the found pairs. The
@@ -226,8 +267,7 @@ def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, ite
                 for ids, texts in _batches(batch, width):
                     for b in blocks:
                         for key, (dist, n) in _search(b.value, ids, texts, width, edits).items():
-                            old = best.get(key, (edits + 1, 0))
-                            best[key] = (dist, n) if dist < old[0] else (dist, old[1] + n) if dist == old[0] else old
+                            _better(best, key, dist, n)
                 name = batch.column(0).to_pylist()
                 rows = [(name[row], item, dist, n) for (row, item), (dist, n) in best.items()]
                 cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
