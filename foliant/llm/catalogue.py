@@ -107,6 +107,11 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder).shares()
 
 
+def p7_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each source's cap and share are kept."""
+    return _mixture(spark, folder).checks()
+
+
 def _languages(spark: SparkSession, folder: str) -> DataFrame:
     return language.languages(table(spark, folder, "documents"), "doc_id", "text", "lang")
 
@@ -122,7 +127,7 @@ def p8_languages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [p1_found, p1_records, p2_found, p2_groups, p4_found, p4_clean, p4_blocks, p5_found, p5_consistent, p6_found, p6_leaks, p7_selection, p7_shares, p8_found, p8_languages]
+    own = [p1_found, p1_records, p2_found, p2_groups, p4_found, p4_clean, p4_blocks, p5_found, p5_consistent, p6_found, p6_leaks, p7_selection, p7_shares, p7_checks, p8_found, p8_languages]
     return {f.__name__: f for f in own}
 
 
@@ -143,7 +148,19 @@ def _groups_sql() -> str:
     return f"WITH r AS ({reg} UNION ALL {bit} UNION ALL {pin}), g AS (SELECT *, min(id) OVER w AS first_id, count(*) OVER w AS copies FROM r WINDOW w AS (PARTITION BY kind, c0, c1, c2, c3, c4, c5, c6))"
 
 
+def _looks_sql() -> str:
+    """Every text with its skeleton, character by character; marks are taken in the order they stand in."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    table_ = ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in lookalike.skeletons_of_characters().items())
+    return rf"""m(ch, sk) AS (VALUES {table_}),
+        t AS (SELECT DISTINCT 'chunk' AS origin, seq AS id, text FROM chunks UNION SELECT DISTINCT 'image', image_id, extracted_text FROM images),
+        c AS (SELECT origin, id, text, unnest(string_split(text, '')) AS ch, unnest(range(len(string_split(text, '')))) AS pos FROM t WHERE regexp_matches(text, '[^\x00-\x08\x0A-\x7F]')),
+        s AS (SELECT origin, id, text, string_agg(coalesce(sk, ch), '' ORDER BY pos) AS look FROM c LEFT JOIN m USING (ch) GROUP BY ALL
+            UNION ALL SELECT origin, id, text, text FROM t WHERE NOT regexp_matches(text, '[^\x00-\x08\x0A-\x7F]'))"""
+
+
 def oracle_sql() -> dict[str, str]:
+    latin, cyrillic = ("".join(map(chr, lookalike.cyrillic_letters())), "".join(lookalike.cyrillic_letters().values()))
     pictures = """i AS (SELECT DISTINCT image_id, lower(image_sha256) AS sha, CASE WHEN regexp_full_match(perceptual_hash, '[0-9a-fA-F]{16}') THEN CAST('0x' || perceptual_hash AS UBIGINT) END AS h FROM images),
             p AS (SELECT DISTINCT a.image_id AS a, b.image_id AS b FROM i a JOIN i b ON a.image_id <> b.image_id WHERE (a.sha = b.sha AND a.sha <> '') OR bit_count(xor(a.h, b.h)) <= 3)"""
     line = r"upper(trim(regexp_replace(regexp_replace(line, '[\s\p{Z}]+', ' ', 'g'), '\p{Nd}+', '0', 'g')))"
@@ -178,6 +195,14 @@ def oracle_sql() -> dict[str, str]:
             m AS (SELECT seq, line_no, pos, max(lines) AS lines, arg_max(documents, lines) AS documents FROM g JOIN k USING (doc_id, block) GROUP BY ALL),
             w AS (SELECT *, max(pos + lines) OVER (PARTITION BY seq ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS covered FROM m)
             SELECT seq, line_no, CAST(lines AS INT) AS lines, documents FROM w WHERE covered IS NULL OR covered < pos + lines""",
+        "p5_found": f"WITH {_looks_sql()} SELECT DISTINCT a.origin, a.id AS id_a, b.id AS id_b FROM s a JOIN s b ON a.origin = b.origin AND a.look = b.look AND a.text <> b.text AND a.id < b.id",
+        "p5_consistent": rf"""WITH {_looks_sql()},
+            w AS (SELECT origin, id, nfc_normalize(array_to_string(list_transform(regexp_extract_all(look, '[\p{{L}}]+|[^\p{{L}}]+'), lambda x: CASE WHEN regexp_matches(x, '[\x{{0400}}-\x{{04FF}}]') THEN translate(x, '{latin}', '{cyrillic}') ELSE x END), '')) AS text FROM s)
+            SELECT origin, id AS item, text FROM w UNION SELECT origin, id, NULL FROM t WHERE text IS NULL""",
+        "p7_checks": """
+            WITH w AS (SELECT source, sum(weight) AS weight, min(max_repeats) AS max_repeats FROM mix_targets WHERE source IS NOT NULL AND weight > 0 AND max_repeats > 0 GROUP BY source),
+            d AS (SELECT source, count(DISTINCT doc_id) AS documents, max(length(text)) > 0 AS has_text FROM documents GROUP BY source)
+            SELECT source, round(weight / sum(weight) OVER (), 6) AS weight, max_repeats, coalesce(documents, 0) AS documents, true AS cap_kept, coalesce(has_text, false) AS share_kept FROM w LEFT JOIN d USING (source)""",
         "p6_found": r"""
             WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
             i AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.plans.lineage import cut
-from foliant.plans.skew import attach, pairs_within
+from foliant.plans.skew import attach, member_pairs, pairs_within
 
 # Letters that share a shape, each line a prototype and the letters drawn like it.
 LOOK_ALIKES = """
@@ -23,6 +23,7 @@ B Β В
 C С Ϲ
 E Ε Е
 F Ϝ
+G Ԍ
 H Η Н
 I Ι І Ӏ
 J Ј Ϳ
@@ -38,24 +39,26 @@ W Ԝ
 X Χ Х
 Y Υ Ү У
 Z Ζ
-a α а
-c ϲ с
+a α а ɑ
+c ϲ с ᴄ
 d ԁ
 e е
+g ɡ
 h һ
-i ι і
+i ι і ı
 j ϳ ј
 k κ к
 l ӏ
-o ο о
+o ο о ᴏ
 p ρ р
 q ԛ
-s ѕ
+s ѕ ꜱ
 u υ
-v ν ѵ
-w ԝ ѡ
+v ν ѵ ᴠ
+w ԝ ѡ ᴡ
 x х χ
 y γ у ү
+z ᴢ
 Γ Г
 Δ ∆
 Π П ∏
@@ -87,7 +90,8 @@ def prototypes() -> dict[int, str]:
             table[cp] = " "
         else:
             how, _, to = unicodedata.decomposition(ch).partition(" ")
-            same_letters = how in ("<compat>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>") and kind[0] == "L" and cp != 0x017F
+            # ligatures, sign variants, and numerals that are drawn as letters; the long s is not drawn as an s
+            same_letters = how in ("<compat>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>") and (kind[0] == "L" or kind == "Nl") and cp != 0x017F
             if how in ("<wide>", "<narrow>") or same_letters:
                 to = unicodedata.normalize("NFKD", ch)
                 if how in ("<wide>", "<narrow>") or all(unicodedata.category(x)[0] in "LM" for x in to):
@@ -108,8 +112,13 @@ def skeleton(text: str) -> str:
     return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(prototypes()))
 
 
+def skeletons_of_characters() -> dict[str, str]:
+    """Every character that is not its own skeleton, with its skeleton; without the Korean syllables, whose parts follow from their number."""
+    return {chr(cp): look for cp in [9, *range(0x80, sys.maxunicode + 1)] if not (0xAC00 <= cp <= 0xD7A3 or 0xD800 <= cp <= 0xDFFF) and (look := skeleton(chr(cp))) != chr(cp)}
+
+
 @lru_cache(1)
-def _cyrillic() -> dict[int, str]:
+def cyrillic_letters() -> dict[int, str]:
     return {ord(line[0]): x for line in LOOK_ALIKES.split("\n") for x in reversed(line.split()[1:]) if "\u0400" <= x <= "\u04ff"}
 
 
@@ -121,7 +130,7 @@ def consistent_text(text: str) -> str:
     """
     look = skeleton(text)
     if not look.isascii():
-        look = re.sub(r"[^\W\d_]+", lambda m: m[0].translate(_cyrillic()) if re.search("[\u0400-\u04ff]", m[0]) else m[0], look)
+        look = re.sub(r"[^\W\d_]+", lambda m: m[0].translate(cyrillic_letters()) if re.search("[\u0400-\u04ff]", m[0]) else m[0], look)
     return unicodedata.normalize("NFC", look)
 
 
@@ -168,10 +177,7 @@ def look_alike_pairs(df: DataFrame, item: str, text: str) -> DataFrame:
     # pairs of representatives: variants of one look; members of each follow by their text's digest
     variants = rows.select("look", "exact").distinct()
     pairs = pairs_within(variants, ["look"], "exact")
-    a = rows.select(F.col("exact").alias("a"), F.col("item").alias("ia"))
-    b = rows.select(F.col("exact").alias("b"), F.col("item").alias("ib"))
-    both = pairs.join(a, "a").join(b, "b").filter("ia <> ib")
-    return both.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct()
+    return member_pairs(pairs, rows, "exact", "item")
 
 
 def consistent(df: DataFrame, item: str, text: str, out: str = "text") -> DataFrame:

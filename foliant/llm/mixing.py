@@ -62,24 +62,33 @@ class DomainClassifier:
         return model
 
 
+def largest_total(totals: np.ndarray, weight: np.ndarray, scarce: float) -> float:
+    """The least of the totals that single sources allow, without those below ``scarce`` times the weighted median one."""
+    order = np.argsort(totals)
+    median = totals[order][np.searchsorted(np.cumsum(weight[order]), weight.sum() / 2)]
+    return float(totals[totals >= scarce * median].min())
+
+
 class Mixture:
     """A selection of documents in which each listed source has its target share of the tokens.
 
     ``targets(source, weight, max_repeats)``: rows without a source or with a weight of zero or less are left
     out, a source listed twice has the sum of its weights and the lesser cap, and weights are scaled to 1.
     A document of a listed source belongs to it; one without a source belongs to each domain (listed sources and
-    the rest) with the posterior of a classifier fitted on at most ``per_source`` labelled texts a domain; documents of
+    the rest) with the posterior of a classifier fitted on at most ``per_source`` labelled texts of at most ``longest`` characters a domain (every
+    document is counted and selected, however long); documents of
     other sources are never used. Rates, between 0 and the cap of the (likeliest) source, minimise the squared
     gap between each domain's expected tokens and its target; the rest's target is 0. Without ``total`` the target
-    total is the largest at which no source with any text needs more than its cap. A source without text gets
-    nothing, and the others keep their proportions. A larger ``total`` leaves scarce sources at their caps, short of
+    total is the largest at which no source needs more than its cap, but for scarce ones: those whose text at the cap would hold the total
+    below ``scarce`` times the total of the (weighted) median source. These don't bind it; they are used at their cap and their shortfall is
+    reported. A source without text gets nothing. The others keep their proportions. A larger ``total`` leaves scarce sources at their caps, short of
     their share, as the report then says. Null texts and empty ones have no tokens; a null id is left out; a document given twice counts once.
 
     Scale: texts are tokenized where they are read and only (id, source, tokens, posterior) is kept; each gradient
     step is one aggregate over distinct membership vectors; per-source numbers alone reach the driver.
     """
 
-    def __init__(self, docs: DataFrame, targets: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", total: float | None = None, per_source: int = 200, longest: int = 20_000, rounds: int = 60, ranks: str = RANKS, seed: int = 7):
+    def __init__(self, docs: DataFrame, targets: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", total: float | None = None, per_source: int = 200, longest: int = 20_000, rounds: int = 60, ranks: str = RANKS, seed: int = 7, scarce: float = 0.05):
         wanted = targets.filter("source IS NOT NULL AND weight > 0 AND max_repeats > 0").groupBy("source").agg(F.sum("weight").alias("w"), F.min("max_repeats").alias("cap")).orderBy("source").collect()
         self.sources = [r.source for r in wanted]
         self.weight = np.array([r.w for r in wanted], dtype=float)
@@ -89,11 +98,12 @@ class Mixture:
         self.seed, self.ranks = seed, ranks
         base = docs.select(F.col(f"`{doc}`").cast("bigint").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).filter("doc_id IS NOT NULL")
         self.members = cut(self._members(base, per_source, longest))
-        sums = {r.source: (r.n, r.t) for r in self.members.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t")).collect()}
-        self.documents = np.array([sums.get(s, (0, 0))[0] for s in self.sources])
-        self.tokens = np.array([sums.get(s, (0, 0))[1] for s in self.sources], dtype=float)
+        sums = {r.source: (r.n, r.t, r.m) for r in self.members.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"), F.max("tokens").alias("m")).collect()}
+        self.documents = np.array([sums.get(s, (0, 0, 0))[0] for s in self.sources])
+        self.tokens = np.array([sums.get(s, (0, 0, 0))[1] for s in self.sources], dtype=float)
+        self.longest = np.array([sums.get(s, (0, 0, 0))[2] for s in self.sources], dtype=float)
         have = self.tokens > 0
-        most = float(np.min(self.cap[have] * self.tokens[have] / self.weight[have])) if have.any() else 0.0
+        most = largest_total(self.cap[have] * self.tokens[have] / self.weight[have], self.weight[have], scarce) if have.any() else 0.0
         self.total = most if total is None else float(total)
         self.history = self._fit_rates(rounds)
 
@@ -223,3 +233,15 @@ class Mixture:
             target = float(weight * self.total)
             rows.append((name, float(weight), None if cap is None else int(cap), int(documents), int(tokens), n, most, t, target, max(0.0, target - float((cap or 0) * tokens)), t / total if total else 0.0))
         return self.spark.createDataFrame(rows, "source string, weight double, max_repeats int, documents bigint, tokens_available bigint, documents_used bigint, most_uses int, tokens_used bigint, target_tokens double, shortfall double, share double")
+
+    def checks(self, tolerance: float = 0.01) -> DataFrame:
+        """(source, weight, max_repeats, documents, cap_kept, share_kept) of each listed source, from what was really selected.
+
+        cap_kept: no document is used more often than allowed. share_kept: the share of all selected tokens is within ``tolerance`` of
+        the weight, scaled to the sources that have text, or nearer than one more or one less use of the source's longest document.
+        """
+        weight = F.col("weight") / (float(self.weight[self.tokens > 0].sum()) or 1.0)
+        longest = F.create_map(*[F.lit(x) for s, n in zip(self.sources, self.longest, strict=True) for x in (s, float(n))]) if self.sources else F.create_map()
+        one = F.try_divide(F.col("share") * longest[F.col("source")], F.col("tokens_used"))  # the share of that document
+        cap, share = F.col("most_uses") <= F.col("max_repeats"), F.coalesce(F.abs(F.col("share") - weight) <= F.greatest(F.lit(tolerance), one), F.lit(False))
+        return self.shares().filter("source IS NOT NULL").select("source", F.round("weight", 6).alias("weight"), "max_repeats", "documents", cap.alias("cap_kept"), share.alias("share_kept"))

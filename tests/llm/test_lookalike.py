@@ -47,3 +47,14 @@ def test_empty_hot_and_long(spark):
     hot = spark.createDataFrame([(i, "same") for i in range(1500)] + [(5000, "sаme"), (5001, "é" * 300_000), (5002, "é" * 300_000)], SCHEMA)
     got = L.look_alike_pairs(hot.selectExpr("*", "1 AS item", "2 AS look", "3 AS exact"), "id", "t")
     assert got.count() == 1501
+
+
+@pytest.mark.parametrize(("a", "b"), [("ı", "i"), ("ɑ", "a"), ("ɡ", "g"), ("ⅰ", "i"), ("Ⅳ", "IV"), ("ᴏ", "o")])
+def test_more_latin_letters(a, b):
+    assert L.skeleton(a) == lookalike.skeleton(b)
+
+
+def test_members_of_two_hot_texts(spark):
+    """Copies of two texts that look the same: every cross pair, and none of equal texts."""
+    df = spark.range(60).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'aеb' ELSE 'aeb' END AS t", "1 AS look", "2 AS exact")
+    assert L.look_alike_pairs(df, "id", "t").count() == 20 * 40

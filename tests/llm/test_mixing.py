@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from foliant.llm import mixing
 from foliant.llm.mixing import OTHER, DomainClassifier, Mixture, tokenizer
 from tests.conftest import rows
 
@@ -80,3 +81,10 @@ def test_nothing_to_mix(spark, docs, targets):
 def test_every_run_chooses_the_same(spark):
     docs, targets = corpus({"a": 80, "b": 20}), [("a", 0.7, 1), ("b", 0.3, 2)]
     assert rows(mixture(spark, docs, targets).selection()) == rows(mixture(spark, docs[::-1], targets).selection())
+
+
+def test_a_nearly_empty_source_does_not_bind():
+    totals, weight = np.array([100.0, 5e5, 9e5, 2e6]), np.array([0.1, 0.3, 0.3, 0.3])
+    assert mixing.largest_total(totals, weight, 0.05) == 5e5
+    assert mixing.largest_total(totals, weight, 0.0) == 100.0
+    assert mixing.largest_total(np.array([7.0]), np.array([1.0]), 0.05) == 7.0
