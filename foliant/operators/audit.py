@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from foliant.functions.text import norm, safe_int, strip, whole_term, word_count
 from foliant.operators.chunking import WINDOW
 from foliant.operators.graph import graph_terms, isolates, term_hits
+from foliant.plans.lineage import cut
 from foliant.plans.skew import union_all
 
 # What a chunk must say, the chunk types there are, and how far over its window prose may be.
@@ -122,58 +123,82 @@ CHECKS = [
 ]
 
 
-def issues(chunks: DataFrame, fresh: DataFrame | None = None) -> DataFrame:
-    """(severity, category, check, message, n) of every chunk check that finds something, and of an empty store. ``graph_issues`` has the others.
+COLUMNS = ["severity", "category", "check", "message", "n", "examples"]
 
-    All row checks are one aggregate over one scan.
+
+def _empty() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _first(df: DataFrame, value: str, order: str, message_row: Callable[..., Column], *args: str, most: int = EXAMPLES) -> DataFrame:
+    """One issue row for the rows of ``df``: how many there are, and the first few values."""
+    first = df.select(F.col(order).alias("o"), F.col(value).cast("string").alias("v")).orderBy("o", "v").limit(most)
+    listed = first.agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "v"))), lambda x: x["v"]).alias("examples"))
+    both = df.agg(F.count(F.lit(1)).alias("n")).crossJoin(listed)  # one row and one row
+    return both.select(message_row(*args, F.col("n"), F.col("examples")).alias("i")).select("i.*")
+
+
+def _row(severity: str, category: str, check: str, message: str, n: Column, examples: Column | None = None) -> Column:
+    found = _empty() if examples is None else F.coalesce(examples, _empty())
+    return F.struct(F.lit(severity).alias("severity"), F.lit(category).alias("category"), F.lit(check).alias("check"), F.lit(message).alias("message"), n.cast("bigint").alias("n"), found.alias("examples"))
+
+
+def issues(chunks: DataFrame, fresh: DataFrame | None = None, with_images: bool = False) -> DataFrame:
+    """(severity, category, check, message, n, examples) of every chunk check that finds something, and of an empty store.
+
+    ``examples`` are the first ``EXAMPLES`` chunk ids in scan order, for repeated texts their keys, for documents that differ from a rebuild
+    their ids. All row checks are one aggregate over one scan, and their examples another, of which each task keeps the first few.
+    ``graph_issues`` has the other checks.
     """
     c = chunks_once(chunks)
     marks = c.select("chunk_type", *[cond().alias(name) for _, name, _, cond in CHECKS])
     sums = marks.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("chunk_type") == "atomic_table").alias("tables"), *[F.count_if(name).alias(name) for _, name, _, _ in CHECKS])
-    row = lambda sev, name, text, n: F.struct(F.lit(sev).alias("severity"), F.lit("chunk_quality").alias("category"), F.lit(name).alias("check"), F.lit(text).alias("message"), n.cast("bigint").alias("n"))
+    hits = c.select(F.explode(F.array_compact(F.array(*[F.when(cond(), F.lit(name)) for _, name, _, cond in CHECKS]))).alias("check"), "seq", "chunk_id")
+    top = hits.withColumn("k", F.row_number().over(Window.partitionBy("check").orderBy("seq", "chunk_id"))).filter(F.col("k") <= EXAMPLES)
+    top = top.groupBy("check").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "chunk_id"))), lambda x: x["chunk_id"]).alias("shown"))
     found = [
-        row("ERROR", "no_chunks", "The store has no chunks.", F.when(F.col("all") == 0, 1).otherwise(0)),
-        *[row(sev, name, text, F.col(name)) for sev, name, text, _ in CHECKS],
-        row("WARN", "no_tables", "No table chunks were found.", F.when((F.col("all") > 0) & (F.col("tables") == 0), 1).otherwise(0)),
+        _row("ERROR", "chunk_quality", "no_chunks", "The store has no chunks.", F.when(F.col("all") == 0, 1).otherwise(0)),
+        *[_row(sev, "chunk_quality", name, text, F.col(name)) for sev, name, text, _ in CHECKS],
+        _row("WARN", "chunk_quality", "no_tables", "No table chunks were found.", F.when((F.col("all") > 0) & (F.col("tables") == 0), 1).otherwise(0)),
     ]
-    one = sums.select(F.explode(F.array(*found)).alias("i")).select("i.*")
-    dup = duplicate_texts(c).agg(F.count(F.lit(1)).alias("n")).select(row("WARN", "duplicate_text", "Texts are in the store more than once.", F.col("n")).alias("i")).select("i.*")
-    parts = [one, dup]
+    one = sums.select(F.explode(F.array(*found)).alias("i")).select("i.*").join(F.broadcast(top), "check", "left")  # a row for each check
+    one = one.withColumn("examples", F.coalesce("shown", "examples")).select(*COLUMNS)
+    keys = cut(c.select(norm("text").alias("t")).filter("t <> ''").groupBy(F.sha1("t").alias("text_key")).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"))
+    parts = [one, _first(keys, "text_key", "text_key", _row, "WARN", "chunk_quality", "duplicate_text", "Texts are in the store more than once.")]
     if fresh is not None:
-        d = differences(c, fresh).agg(F.count_if(F.expr("missing > 0 OR stale > 0")).alias("n"))
-        parts.append(d.select(row("WARN", "stale_or_missing", "Stored chunks differ from rebuilt ones.", F.col("n")).alias("i")).select("i.*"))
+        d = cut(differences(c, fresh, with_images).filter("missing > 0 OR stale > 0"))
+        parts.append(_first(d, "doc_id", "doc_id", _row, "WARN", "chunk_quality", "stale_or_missing", "Stored chunks differ from rebuilt ones."))
     return union_all(parts).filter("n > 0")
 
 
-def _issue(spark: SparkSession, severity: str, category: str, check: str, message: str, n: int) -> DataFrame:
-    return spark.createDataFrame([(severity, category, check, message, n)], "severity string, category string, check string, message string, n bigint")
+def _issue(spark: SparkSession, severity: str, category: str, check: str, message: str, n: int, examples: list[str] | None = None) -> DataFrame:
+    return spark.createDataFrame([(severity, category, check, message, n, examples or [])], "severity string, category string, check string, message string, n bigint, examples array<string>")
 
 
 def graph_issues(chunks: DataFrame, nodes: DataFrame | None, edges: DataFrame | None, terms: list[str], most: int = 40) -> DataFrame:
-    """(severity, category, check, message, n) of every check of the graph, and of its terms against the text, that finds something.
+    """(severity, category, check, message, n, examples) of every check of the graph, and of its terms against the text, that finds something.
 
     Without a graph (null) only that is an issue. ``terms`` must be in the graph; they and the graph's first ``most`` names, in the text.
+    ``examples`` are the names of the first isolated nodes by id, and the first terms in order.
     """
     spark = chunks.sparkSession
-    topology = lambda sev, name, text, n: F.struct(F.lit(sev).alias("severity"), F.lit("graph_topology").alias("category"), F.lit(name).alias("check"), F.lit(text).alias("message"), n.cast("bigint").alias("n"))
     if nodes is None or edges is None:
         return _issue(spark, "ERROR", "graph_topology", "graph_missing", "There is no graph.", 1)
-    size = nodes.agg(F.countDistinct("node_id").alias("nodes")).crossJoin(edges.agg(F.count(F.lit(1)).alias("edges"))).crossJoin(isolates(nodes, edges).agg(F.countDistinct("node_id").alias("isolated")))
+    nodes, edges = cut(nodes), cut(edges)
+    alone = cut(isolates(nodes, edges).distinct())
+    size = nodes.agg(F.countDistinct("node_id").alias("nodes")).crossJoin(edges.agg(F.count(F.lit(1)).alias("edges")))
     shape = [
-        topology("ERROR", "no_nodes", "The graph has no nodes.", F.when(F.col("nodes") == 0, 1).otherwise(0)),
-        topology("ERROR", "no_edges", "The graph has nodes but no edges.", F.when((F.col("nodes") > 1) & (F.col("edges") == 0), 1).otherwise(0)),
-        topology("WARN", "isolated_nodes", "Nodes have no edge.", F.col("isolated")),
+        _row("ERROR", "graph_topology", "no_nodes", "The graph has no nodes.", F.when(F.col("nodes") == 0, 1).otherwise(0)),
+        _row("ERROR", "graph_topology", "no_edges", "The graph has nodes but no edges.", F.when((F.col("nodes") > 1) & (F.col("edges") == 0), 1).otherwise(0)),
     ]
+    parts = [size.select(F.explode(F.array(*shape)).alias("i")).select("i.*"), _first(alone, "name", "node_id", _row, "WARN", "graph_topology", "isolated_nodes", "Nodes have no edge.")]
     asked = ordered_terms(terms, [])
-    hits = term_hits(nodes, edges, asked).agg(F.count_if(F.expr("hits = 0")).alias("absent"), F.count_if(F.expr("hits > 0 AND max_degree = 0")).alias("only"))
-    named = [
-        topology("WARN", "term_absent", "Terms are in no node's name.", F.col("absent")),
-        topology("WARN", "term_only_isolated", "Terms are only in names of nodes without edges.", F.col("only")),
-    ]
-    text = aligned_terms(chunks_once(chunks), terms_with_graph(terms, nodes, most)).agg(F.count_if(F.expr("matches = 0")).alias("n"))
-    parts = [size.select(F.explode(F.array(*shape)).alias("i")).select("i.*"), text.select(F.lit("WARN").alias("severity"), F.lit("hybrid_alignment").alias("category"), F.lit("terms_not_in_chunks").alias("check"), F.lit("Terms are in no chunk's text.").alias("message"), "n")]
     if asked:
-        parts.append(hits.select(F.explode(F.array(*named)).alias("i")).select("i.*"))
+        hits = cut(term_hits(nodes, edges, asked))
+        parts.append(_first(hits.filter("hits = 0"), "term", "term", _row, "WARN", "graph_topology", "term_absent", "Terms are in no node's name."))
+        parts.append(_first(hits.filter("hits > 0 AND max_degree = 0"), "term", "term", _row, "WARN", "graph_topology", "term_only_isolated", "Terms are only in names of nodes without edges."))
+    text = cut(aligned_terms(chunks_once(chunks), terms_with_graph(terms, nodes, most)).filter("matches = 0"))
+    parts.append(_first(text, "term", "term", _row, "WARN", "hybrid_alignment", "terms_not_in_chunks", "Terms are in no chunk's text."))
     return union_all(parts).filter("n > 0")
 
 
@@ -184,7 +209,8 @@ def search_issues(spark: SparkSession, terms: list[str], search: Callable[[DataF
         found = {r.query_id for r in search(spark.createDataFrame(asked, "q bigint, t string")).select("query_id").distinct().collect()}
     except Exception as e:  # noqa: BLE001 - whatever keeps the search from running is what the audit reports
         return _issue(spark, "WARN", "live_search", "search_failed", f"The search could not run: {str(e)[:200]}", 1)
-    return _issue(spark, "WARN", "live_search", "search_empty", "Terms are found by no search.", sum(i not in found for i, _ in asked)).filter("n > 0")
+    empty = [t for i, t in asked if i not in found]
+    return _issue(spark, "WARN", "live_search", "search_empty", "Terms are found by no search.", len(empty), empty[:EXAMPLES]).filter("n > 0")
 
 
 def fresh_counts(fresh: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliant.functions.text import first_text, norm, strip
 from foliant.plans.components import components
 from foliant.plans.lineage import cut
+from foliant.plans.skew import attach, union_all
 
 
 def label_counts(nodes: DataFrame) -> DataFrame:
@@ -52,11 +53,15 @@ def lookup(nodes: DataFrame, needle: str, named: Column | None = None) -> DataFr
     return nodes.filter(F.contains(F.lower(name), F.lit(needle.lower())))
 
 
-def neighbours(nodes: DataFrame, edges: DataFrame, sources: DataFrame, directed: bool = False) -> DataFrame:
-    """(src, node_id, name, label): nodes an edge leads to from each of ``sources(node_id)``; both ways unless directed. Unknown sources give none."""
+def neighbours(nodes: DataFrame, edges: DataFrame, sources: DataFrame, directed: bool = True) -> DataFrame:
+    """(src, node_id, name, edge, and the node's other columns): nodes an edge leads to from each of ``sources(node_id)``; both ways unless directed.
+
+    edge is the link's label. Unknown sources give none.
+    """
     links = edges if directed else both_ways(edges)
-    near = links.join(sources.select(F.col("node_id").alias("src")).distinct(), "src", "left_semi")
-    return near.join(nodes.select(F.col("node_id").alias("dst"), "name"), "dst").select("src", F.col("dst").alias("node_id"), "name", F.coalesce(first_text("label"), F.lit("edge")).alias("label"))
+    near = links.join(sources.select(F.col("node_id").alias("src")).distinct(), "src", "left_semi").select("src", "dst", F.coalesce(first_text("label"), F.lit("edge")).alias("edge"))
+    rest = [c for c in nodes.columns if c not in ("node_id", "name")]
+    return near.join(nodes.withColumnRenamed("node_id", "dst"), "dst").select("src", F.col("dst").alias("node_id"), "name", "edge", *rest)
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -98,12 +103,18 @@ def top_degree(nodes: DataFrame, edges: DataFrame, k: int = 40) -> DataFrame:
     return degrees(nodes, edges).orderBy(F.desc("degree"), "node_id").limit(k)
 
 
+def attributes() -> Column:
+    """A node's own columns as a JSON object, without nulls."""
+    return F.to_json(F.struct("class", "label", "name", "title"))
+
+
 def viewer_filter(nodes: DataFrame, edges: DataFrame, text: str = "", group: str = "", least_degree: int = 0) -> DataFrame:
-    """(node_id, name, group, degree) of nodes whose description contains ``text`` in any case, in ``group`` if one is named, of at least a degree."""
-    n = nodes.join(degrees(nodes, edges), "node_id").select("node_id", display_name().alias("name"), group_of().alias("group"), "degree", "label", "class", "title", F.col("name").alias("attr"))
-    said = F.lower(F.concat_ws(" ", "node_id", "name", "group", "label", "class", "title", "attr"))
+    """(node_id, name, group, degree) of nodes of at least a degree whose id, name, group and attributes, as JSON, contain ``text`` in any
+    case, in ``group`` if one is named."""
+    n = nodes.join(degrees(nodes, edges), "node_id").select("node_id", display_name().alias("shown"), group_of().alias("group"), "degree", attributes().alias("attrs"))
+    said = F.lower(F.concat_ws(",", F.to_json(F.array("node_id", "shown", "group")), "attrs"))
     out = n.filter(F.contains(said, F.lit(text.lower())) & (F.col("degree") >= least_degree))
-    return (out.filter(F.col("group") == group) if group else out).select("node_id", "name", "group", "degree")
+    return (out.filter(F.col("group") == group) if group else out).select("node_id", F.col("shown").alias("name"), "group", "degree")
 
 
 def pages(c: Column) -> Column:
@@ -111,12 +122,36 @@ def pages(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(c, lambda x: F.trim(x.cast("string")).try_cast("int")), lambda x: x.isNotNull())))
 
 
-def payload(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(part, key, json): the viewer's nodes and edges as one JSON object each."""
+def payload(nodes: DataFrame, edges: DataFrame, page_numbers: DataFrame | None = None) -> DataFrame:
+    """(part, key, json): the viewer's nodes and edges as one JSON object each, and how many nodes each group and edges each label has.
+
+    A node has its id, name, group, degree, attributes and pages: those of ``page_numbers(node_id, pages array<string>)`` that are whole
+    numbers, each once, in order. Where it is placed is ``placed``'s.
+    """
     n = nodes.join(degrees(nodes, edges), "node_id")
-    as_node = F.to_json(F.struct(F.col("node_id").alias("id"), display_name().alias("name"), group_of().alias("group"), "degree"))
+    n = n.join(page_numbers.select("node_id", pages(F.col("pages")).alias("pages")), "node_id", "left") if page_numbers is not None else n.withColumn("pages", F.lit(None).cast("array<int>"))
+    fields = F.struct("class", "label", "name", "title").alias("attrs")
+    as_node = F.to_json(F.struct(F.col("node_id").alias("id"), display_name().alias("name"), group_of().alias("group"), "degree", F.coalesce("pages", F.array().cast("array<int>")).alias("pages"), fields))
     as_edge = F.to_json(F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), F.coalesce(first_text("label"), F.lit("edge")).alias("label")))
-    return n.select(F.lit("node").alias("part"), F.col("node_id").alias("key"), as_node.alias("json")).unionByName(edges.select(F.lit("edge").alias("part"), F.concat_ws(" ", "src", "dst").alias("key"), as_edge.alias("json")))
+    counted = lambda part, d, c: d.select(F.lit(part).alias("part"), F.col(c).alias("key"), F.col("n").cast("string").alias("json"))
+    parts = [
+        n.select(F.lit("node").alias("part"), F.col("node_id").alias("key"), as_node.alias("json")),
+        edges.select(F.lit("edge").alias("part"), F.concat_ws(" ", "src", "dst").alias("key"), as_edge.alias("json")),
+        counted("group", group_counts(nodes), "group"),
+        counted("edge_label", edge_label_counts(edges), "label"),
+    ]
+    return union_all(parts)
+
+
+def placed(nodes: DataFrame, edges: DataFrame, cell: float = 2.8) -> DataFrame:
+    """(node_id, x, y): components on a grid by falling size, the nodes of each around its place, at an angle and a distance by a hash of the id."""
+    c = components(nodes.select(F.col("node_id").alias("vertex")), edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))
+    c = cut(c)
+    sizes = c.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    at = attach(c, grid(sizes, cell), ["component"], "size")
+    angle = F.pmod(F.xxhash64("vertex"), F.lit(36_000)) * (3.141592653589793 / 18_000)
+    radius = F.when(F.col("size") > 1, F.sqrt(F.pmod(F.xxhash64("vertex", F.lit(1)), F.lit(10_000)) / 10_000) * (0.45 * cell)).otherwise(0.0)
+    return at.select(F.col("vertex").alias("node_id"), F.round(F.col("x") + radius * F.cos(angle), 4).alias("x"), F.round(F.col("y") + radius * F.sin(angle), 4).alias("y"))
 
 
 def term_hits(nodes: DataFrame, edges: DataFrame, terms: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from foliant.operators import dense, fusion, graph
@@ -65,14 +65,21 @@ class Engine:
         if missing:
             return {"error": f"missing argument: {', '.join(missing)}"}
         if name == "search_vector":
-            hits = self.search(arguments["query"], arguments.get("doc_id")).join(self.chunks.dropDuplicates(["seq"]), F.col("item") == F.col("seq"))
+            shown = ["chunk_id", "text", "doc_id", "page_start", "page_end", "section_path"]
+            once = self.chunks.groupBy("seq").agg(F.min(F.struct(*shown)).alias("c")).select("seq", "c.*")  # of a chunk with several contents the least
+            hits = self.search(arguments["query"], arguments.get("doc_id")).join(once, F.col("item") == F.col("seq"))
             rows = hits.orderBy("rank").select("chunk_id", "text", "doc_id", "page_start", "page_end", F.col("section_path").alias("section"))
-        elif name == "search_graph":
-            rows = graph.lookup(self.nodes, arguments["entity_name"]).orderBy("node_id")
-        else:
-            one = self.nodes.filter(F.col("node_id") == arguments["node_id"])
-            rows = graph.neighbours(self.nodes, self.edges, one).orderBy("node_id", "label")
-        return {"results": [r.asDict() for r in rows.collect()]}
+            return {"results": [r.asDict() for r in rows.collect()]}
+        if name == "search_graph":
+            found = graph.lookup(self.nodes, arguments["entity_name"]).orderBy("node_id").collect()
+            return {"results": [{"node_id": r.node_id, "attrs": _attributes(r)} for r in found]}
+        one = self.nodes.filter(F.col("node_id") == arguments["node_id"])
+        found = graph.neighbours(self.nodes, self.edges, one).orderBy("node_id", "edge").collect()
+        return {"results": [{"node_id": r.node_id, "attrs": _attributes(r), "edge": {"label": r.edge}} for r in found]}
+
+
+def _attributes(row: Row) -> dict[str, Any]:
+    return {k: v for k, v in row.asDict(True).items() if k not in ("node_id", "src", "edge") and v is not None}
 
 
 @dataclass

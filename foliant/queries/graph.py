@@ -53,6 +53,7 @@ QUERIES = {
     "graph_isolates": _of(G.isolates),
     "graph_lookup": _of(lambda n, e: G.lookup(n, NEEDLE).select("node_id", "name", "class")),
     "graph_neighbors": _of(lambda n, e: G.neighbours(n, e, G.lookup(n, NEEDLE))),
+    "graph_neighbors_undirected": _of(lambda n, e: G.neighbours(n, e, G.lookup(n, NEEDLE), directed=False).select("src", "node_id", "edge")),
     "graph_adjacency_undirected": _of(lambda n, e: G.adjacency(e)),
     "graph_components": _of(G.component_sizes),
     "graph_layout": _of(lambda n, e: G.grid(G.component_sizes(n, e)).select("size", "x", "y")),
@@ -87,6 +88,7 @@ def _strip(c: str) -> str:
 _SHOWN = f"coalesce({_strip('name')}, {_strip('label')}, {_strip('title')}, node_id)"
 _GROUP = "coalesce(nullif(class, ''), nullif(label, ''), 'Unknown')"
 _NAMED = f"contains(lower(coalesce(name, node_id)), '{NEEDLE}')"
+_ATTRS = "'{' || concat_ws(',', " + ", ".join(f"""'"{c}":' || to_json({c})""" for c in ("class", "label", "name", "title")) + ") || '}'"
 _TERMS = f"t AS (SELECT lower({_strip('name')}) AS key, min((node_id, {_strip('name')})) AS f FROM n WHERE length({_strip('name')}) BETWEEN 2 AND 80 GROUP BY ALL ORDER BY f LIMIT 40)"
 
 GRAPH_TERMS_SQL = _TERMS
@@ -100,15 +102,18 @@ _SELECT = {
     "graph_degree": "SELECT * FROM g",
     "graph_isolates": f"SELECT node_id, coalesce({_strip('name')}, node_id) AS name FROM n JOIN g USING (node_id) WHERE degree = 0",
     "graph_lookup": f"SELECT node_id, name, class FROM n WHERE {_NAMED}",
-    "graph_neighbors": f"SELECT b.src, n.node_id, n.name, coalesce(nullif(b.label, ''), 'edge') AS label FROM b JOIN n ON n.node_id = b.dst WHERE b.src IN (SELECT node_id FROM n WHERE {_NAMED})",
+    "graph_neighbors": f"SELECT b.src, n.node_id, n.name, coalesce(nullif(b.label, ''), 'edge') AS edge, n.label, n.class, n.title FROM e b JOIN n ON n.node_id = b.dst WHERE b.src IN (SELECT node_id FROM n WHERE {_NAMED})",
+    "graph_neighbors_undirected": f"SELECT b.src, n.node_id, coalesce(nullif(b.label, ''), 'edge') AS edge FROM b JOIN n ON n.node_id = b.dst WHERE b.src IN (SELECT node_id FROM n WHERE {_NAMED})",
     "graph_adjacency_undirected": "SELECT src, dst, label, row_number() OVER (PARTITION BY src ORDER BY dst, label) AS nth FROM b QUALIFY nth <= 80",
     "graph_components": "SELECT component, count(*) AS size FROM (SELECT n.node_id, coalesce(min(r.a), n.node_id) AS component FROM n LEFT JOIN r ON r.b = n.node_id GROUP BY n.node_id) GROUP BY component",
     "graph_layout": "SELECT size, CAST(pos % k AS DOUBLE) * 2.8 AS x, CAST(pos // k AS DOUBLE) * 2.8 AS y FROM (SELECT size, row_number() OVER (ORDER BY size DESC) - 1 AS pos, CAST(ceil(sqrt(count(*) OVER ())) AS BIGINT) AS k FROM (SELECT count(*) AS size FROM (SELECT n.node_id, coalesce(min(r.a), n.node_id) AS component FROM n LEFT JOIN r ON r.b = n.node_id GROUP BY n.node_id) GROUP BY component))",
     "graph_top_degree": "SELECT node_id, degree FROM g ORDER BY degree DESC, node_id LIMIT 40",
-    "graph_payload": f"""SELECT 'node' AS part, node_id AS key, '{{"id":' || to_json(node_id) || ',"name":' || to_json({_SHOWN}) || ',"group":' || to_json({_GROUP}) || ',"degree":' || degree || '}}' AS json FROM n JOIN g USING (node_id)
-        UNION ALL SELECT 'edge', src || ' ' || dst, '{{"source":' || to_json(src) || ',"target":' || to_json(dst) || ',"label":' || to_json(coalesce(nullif(label, ''), 'edge')) || '}}' FROM e""",
+    "graph_payload": f"""SELECT 'node' AS part, node_id AS key, '{{"id":' || to_json(node_id) || ',"name":' || to_json({_SHOWN}) || ',"group":' || to_json({_GROUP}) || ',"degree":' || degree || ',"pages":[],"attrs":' || {_ATTRS} || '}}' AS json FROM n JOIN g USING (node_id)
+        UNION ALL SELECT 'edge', src || ' ' || dst, '{{"source":' || to_json(src) || ',"target":' || to_json(dst) || ',"label":' || to_json(coalesce(nullif(label, ''), 'edge')) || '}}' FROM e
+        UNION ALL SELECT 'group', {_GROUP}, CAST(count(*) AS VARCHAR) FROM n GROUP BY ALL
+        UNION ALL SELECT 'edge_label', coalesce(nullif(label, ''), 'edge'), CAST(count(*) AS VARCHAR) FROM e GROUP BY ALL""",
     "graph_terms": "SELECT f[2] AS term, f[1] AS node_id FROM t",
-    "viewer_filter": f"""SELECT node_id, name, "group", degree FROM (SELECT node_id, {_SHOWN} AS name, {_GROUP} AS "group", degree, lower(concat_ws(' ', node_id, {_SHOWN}, {_GROUP}, label, class, title, name)) AS said FROM n JOIN g USING (node_id)) WHERE contains(said, '{NEEDLE}') AND "group" = 'Register' AND degree >= 2""",
+    "viewer_filter": f"""SELECT node_id, name, "group", degree FROM (SELECT node_id, {_SHOWN} AS name, {_GROUP} AS "group", degree, lower('[' || to_json(node_id) || ',' || to_json({_SHOWN}) || ',' || to_json({_GROUP}) || '],' || {_ATTRS}) AS said FROM n JOIN g USING (node_id)) WHERE contains(said, '{NEEDLE}') AND "group" = 'Register' AND degree >= 2""",
 }
 _REACH = "r AS (SELECT src AS a, src AS b FROM e UNION SELECT dst, dst FROM e UNION SELECT r.a, b.dst FROM r JOIN b ON b.src = r.b)"
 

@@ -39,7 +39,7 @@ def test_neighbours_and_adjacency(spark):
     n, e = graph(spark)
     one = n.filter("node_id = 'n2'")
     assert rows(G.neighbours(n, e, one, directed=True), "node_id") == [("n2",)]
-    assert rows(G.neighbours(n, e, one), "node_id") == [("n1",), ("n2",), ("n2",)]
+    assert rows(G.neighbours(n, e, one, directed=False), "node_id") == [("n1",), ("n2",), ("n2",)]
     assert [r[0] for r in rows(G.adjacency(e, 1), "src")] == ["CAN_0", "n1", "n2"]
     assert G.adjacency(e).filter("src = 'n2'").count() == 3
 
