@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,6 +116,64 @@ def difference_hash(pixels: Column, width: int) -> Column:
     return F.array_join(nibbles, "")
 
 
+def on_white(pixels: np.ndarray) -> np.ndarray:
+    """Pixels (rows, columns, channels) as red, green and blue: grey is spread, transparency lies on white."""
+    p = pixels.astype(np.uint16)
+    if p.shape[2] in (2, 4):
+        alpha = p[:, :, -1:]
+        p = (p[:, :, :-1] * alpha + 255 * (255 - alpha) + 127) // 255
+    return np.repeat(p, 3, axis=2).astype(np.uint8) if p.shape[2] == 1 else p.astype(np.uint8)
+
+
+def png_bytes(rgb: np.ndarray) -> bytes:
+    """The picture as a PNG file."""
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = np.concatenate([np.zeros((len(rgb), 1), np.uint8), rgb.reshape(len(rgb), -1)], axis=1)  # each row with no filter
+    header = struct.pack(">IIBBBBB", rgb.shape[1], rgb.shape[0], 8, 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 9)) + chunk(b"IEND", b"")
+
+
+def _bicubic(size: int, wanted: int) -> np.ndarray:
+    """Weights of ``size`` samples in each of ``wanted``: a cubic of four samples, widened where the picture shrinks, as whole 2^-22."""
+    scale = size / wanted
+    wide = max(scale, 1.0)
+    centre = (np.arange(wanted)[:, None] + 0.5) * scale
+    at = np.arange(size)[None, :]
+    low, high = np.floor(centre - 2 * wide + 0.5), np.floor(centre + 2 * wide + 0.5)
+    x = np.abs((at - centre + 0.5) / wide)
+    w = np.where(x < 1, (1.5 * x - 2.5) * x * x + 1, np.where(x < 2, ((-0.5 * x + 2.5) * x - 4) * x + 2, 0.0)) * ((at >= low) & (at < high))
+    return np.rint(w / w.sum(axis=1, keepdims=True) * 2**22).astype(np.int64)
+
+
+def grey_grid(rgb: np.ndarray, columns: int = 9, rows: int = 8) -> np.ndarray:
+    """The picture in grey (the usual weights of luma), resized across and then down, each time rounded to a byte."""
+    grey = (rgb.astype(np.int64) @ np.array([19595, 38470, 7471]) + 0x8000) >> 16
+    fit = lambda x: np.clip((x + 2**21) >> 22, 0, 255)
+    return fit(_bicubic(rgb.shape[0], rows) @ fit(grey @ _bicubic(rgb.shape[1], columns).T))
+
+
+def decoded(pictures: DataFrame) -> DataFrame:
+    """(image_id, width, height, content, image_sha256, perceptual_hash) of ``pictures(image_id, width, height, channels, pixels)``.
+
+    pixels are the bytes of row after row, of 1 to 4 channels (grey or red, green, blue, with or without opacity). content is the
+    picture on white as PNG, its digest the sha256 of that, and the hash that of differences in a grey 9 x 8 grid. Pictures whose
+    bytes don't fill their size, and empty ones, are left out; a null id stays.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for i, w, h, n, data in zip(b.image_id, b.width, b.height, b.channels, b.pixels, strict=True):
+                rgb = on_white(np.frombuffer(data, np.uint8).reshape(int(h), int(w), int(n)))
+                out.append((i, w, h, png_bytes(rgb), grey_grid(rgb).ravel().tolist()))
+            yield pd.DataFrame(out, columns=["image_id", "width", "height", "content", "grid"])
+
+    good = "width > 0 AND height > 0 AND channels BETWEEN 1 AND 4 AND length(pixels) = CAST(width AS bigint) * height * channels"
+    kind = pictures.schema["image_id"].dataType.simpleString()
+    rows = pictures.filter(good).select("image_id", "width", "height", "channels", "pixels").mapInPandas(run, f"image_id {kind}, width int, height int, content binary, grid array<int>")
+    return rows.select("image_id", "width", "height", "content", F.sha2("content", 256).alias("image_sha256"), difference_hash(F.col("grid"), 9).alias("perceptual_hash"))
+
+
 ANSWER = "should_index boolean, image_type string, title string, summary string, extracted_text string, entities array<string>, relationships array<string>, search_terms array<string>, confidence double"
 
 
@@ -130,14 +191,15 @@ def analysed(candidates: DataFrame, cache: DataFrame, analyse: Callable[[bytes],
 
     ``candidates(image_id, doc_id, ordinal, width, height, content, perceptual_hash)``, ``cache(image_sha256, perceptual_hash, + analysis)``. Small ones are
     left out. All look-ups come before any analysis; of equal digests one is analysed; ``analyse`` may be None (cache only). A picture whose analysis fails
-    (None or an exception) has no result and isn't cached.
+    (None or an exception) has no result and isn't cached. ``analyse`` is called for one picture at a time, as a vision model takes them. Of several
+    cached analyses of one digest the least is taken.
     """
     from foliant.plans.lineage import cut
 
     ready = cut(candidates.filter(large_enough()).withColumn("image_sha256", F.sha2("content", 256)))
     probe = cut(cache_probe(ready, cache))
     names = [c.split()[0] for c in ANSWER.split(", ")]
-    stored = cache.select(F.lower("image_sha256").alias("cache_sha"), *names).dropDuplicates(["cache_sha"])
+    stored = cache.select(F.lower("image_sha256").alias("cache_sha"), *names).groupBy("cache_sha").agg(F.min(F.struct(*names)).alias("a")).select("cache_sha", "a.*")
     new = ready.join(probe.filter("hit = 'none'").select("image_id"), "image_id", "left_semi").groupBy("image_sha256").agg(F.first("content").alias("content"), F.min("perceptual_hash").alias("perceptual_hash"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

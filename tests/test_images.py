@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +81,24 @@ def test_pipeline(spark):
     assert cached.count() == 3
     only, _ = I.analysed(spark.createDataFrame(data, cand), cache, None)
     assert rows(only, "image_id") == [(6,)]
+
+
+def test_decoded_pictures(spark):
+    falling = bytes(255 - 10 * (x % 18) for _ in range(16) for x in range(18))
+    clear = bytes([10, 20, 30, 0] * 4)
+    df = spark.createDataFrame([(1, 18, 16, 1, bytearray(falling)), (2, 2, 2, 4, bytearray(clear)), (3, 2, 2, 3, bytearray(b"xx")), (4, 0, 0, 1, bytearray()), (5, 18, 16, 1, None)], "image_id int, width int, height int, channels int, pixels binary")
+    got = {r.image_id: r for r in I.decoded(df).collect()}
+    assert set(got) == {1, 2} and got[1].perceptual_hash == "f" * 16 and got[2].perceptual_hash == "0" * 16
+    assert bytes(got[2].content)[:8] == b"\x89PNG\r\n\x1a\n"
+    import zlib
+
+    data = bytes(got[2].content)
+    at = data.index(b"IDAT")
+    assert zlib.decompress(data[at + 4 : at + 4 + int.from_bytes(data[at - 4 : at], "big")]) == (b"\0" + b"\xff" * 6) * 2  # white
+
+
+def test_grid_keeps_flat_and_sized_pictures():
+    flat = np.full((37, 53, 3), 77, np.uint8)
+    assert (I.grey_grid(flat) == 77).all() and I.grey_grid(flat).shape == (8, 9)
+    small = np.arange(72, dtype=np.uint8).reshape(8, 9)
+    assert (I.grey_grid(np.repeat(small[:, :, None], 3, axis=2)) == small).all()  # nothing to resize

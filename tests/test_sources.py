@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from foliant import cli
 from foliant.operators.embedding import embedded
 from foliant.operators.tools import EXHAUSTED, TOOLS, Agent, Engine, missing_models, with_fallback
-from foliant.sources import layout, registry, sinks
+from foliant.sources import build, layout, registry, sinks
 from foliant.streaming.ingest import ChunkStore, start
 from tests.conftest import rows
 
@@ -103,7 +103,8 @@ def test_tools(spark):
     assert {h["doc_id"] for h in hits} == {"d"} and "score" not in hits[0]
     assert e.search("word3", mode="lexical").count() == 1 and e.search("word3", mode="dense", k=2).count() == 2
     assert [r["node_id"] for r in e.run("search_graph", {"entity_name": "watch"})["results"]] == ["n1"]
-    assert [r["node_id"] for r in e.run("get_graph_neighbors", {"node_id": "n1"})["results"]] == ["n2"]
+    assert e.run("get_graph_neighbors", {"node_id": "n1"})["results"] == [{"node_id": "n2", "attrs": {"name": "Timer", "label": "L", "class": "C"}, "edge": {"label": "x"}}]
+    assert e.run("get_graph_neighbors", {"node_id": "n2"})["results"] == []
     assert "error" in e.run("search_graph", {}) and "error" in e.run("nothing", {})
 
 
@@ -144,3 +145,45 @@ def test_command_line(spark, folder, tmp_path, monkeypatch, capsys):
     assert cli.main(["search", folder, "--top-k", "2"]) == 0 and len(capsys.readouterr().out.split("\n")) >= 3
     with pytest.raises(SystemExit):
         cli.main([])
+
+
+def test_ingest_and_reparse(spark, folder, tmp_path, capsys):
+    """Files to chunks to an audit that compares them with the stored ones."""
+    (tmp_path / "raw").mkdir()
+    paths = {r.doc_id: r.path for r in registry.registered(spark.read.parquet(f"{folder}/registry.parquet")).collect()}
+    doc, path = sorted(paths.items())[0]
+    target = tmp_path / "raw" / path
+    target.parent.mkdir(parents=True, exist_ok=True)
+    reg = spark.createDataFrame([(doc, "a.html", 1)], "doc_id string, path string, registered_at int")
+    (tmp_path / "raw" / "a.html").write_text("<h1>Top</h1><p>one</p><p>two</p><table><tr><td>a<td>b</table><img alt='a picture'><p>three</p>")
+    got = build.build(spark, reg, f"{tmp_path}/raw")
+    assert rows(got, "chunk_type", "text", "section_path") == sorted([("atomic_table", "| a | b", "Top"), ("image_analysis", "a picture", "Top"), ("structural", "one two", "Top"), ("structural", "three", "Top")], key=repr)
+    assert got.select("chunk_id").distinct().count() == 4 and build.build(spark, reg, f"{tmp_path}/raw", skip_images=True).count() == 3
+    out = f"{tmp_path}/chunks"
+    assert cli.main(["ingest", folder, "--files", f"{tmp_path}/raw", "--output", out, "--image-cache-only"]) == 0
+    assert sinks.load_version(spark, out, "chunk_type string").filter("chunk_type = 'image_analysis'").count() > 0
+    assert cli.main(["audit", folder, "--files", f"{tmp_path}/raw", "--skip-reparse", "--terms", "watchdog", "--max-graph-terms", "3"]) == 1
+    assert "not checked" in capsys.readouterr().out
+
+
+def answer(messages, tools):
+    return {"role": "assistant", "content": f"{len(messages)} messages"}
+
+
+def vectors(texts):
+    return [[1.0] * 64 for _ in texts]
+
+
+def test_ask(spark, folder, monkeypatch, capsys):
+    monkeypatch.setattr("sys.stdin", iter(["\n", "what?\n", "and?\n", "reset\n", "again?\n", "exit\n", "no\n"]))
+    assert cli.main(["ask", folder, "--chat", "tests.test_sources:answer", "--embed", "tests.test_sources:vectors"]) == 0
+    assert [x for x in capsys.readouterr().out.split("\n") if "messages" in x] == ["2 messages", "4 messages", "2 messages"]
+
+
+def test_graph_version_is_whole(spark, tmp_path):
+    n = lambda k: spark.createDataFrame([(str(i), None, None, None, None) for i in range(k)], "node_id string, name string, label string, class string, title string")
+    e = lambda k: spark.createDataFrame([("0", "0", "x")] * k, "src string, dst string, label string")
+    sinks.save_graph(n(2), e(1), f"{tmp_path}/g")
+    n(3).write.parquet(f"{tmp_path}/g/_tmp-later/nodes")  # a version that isn't finished
+    found = sinks.load_graph(spark, f"{tmp_path}/g")
+    assert [d.count() for d in found] == [2, 1]
