@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import boilerplate, language, leakage, lookalike, mixing, neardup, records
+from foliant.llm import boilerplate, language, languages_sql, leakage, lookalike, mixing, neardup, records
 from foliant.plans.skew import union_all
 from foliant.sources.tables import table
 
@@ -203,6 +203,7 @@ def oracle_sql() -> dict[str, str]:
             WITH w AS (SELECT source, sum(weight) AS weight, min(max_repeats) AS max_repeats FROM mix_targets WHERE source IS NOT NULL AND weight > 0 AND max_repeats > 0 GROUP BY source),
             d AS (SELECT source, count(DISTINCT doc_id) AS documents, max(length(text)) > 0 AS has_text FROM documents GROUP BY source)
             SELECT source, round(weight / sum(weight) OVER (), 6) AS weight, max_repeats, coalesce(documents, 0) AS documents, true AS cap_kept, coalesce(has_text, false) AS share_kept FROM w LEFT JOIN d USING (source)""",
+        "p8_found": languages_sql.sql(),
         "p6_found": r"""
             WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
             i AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
