@@ -237,11 +237,11 @@ class Mixture:
     def checks(self, tolerance: float = 0.01) -> DataFrame:
         """(source, weight, max_repeats, documents, cap_kept, share_kept) of each listed source, from what was really selected.
 
-        cap_kept: no document is used more often than allowed. share_kept: the share of all selected tokens is within ``tolerance`` of
-        the weight, scaled to the sources that have text, or nearer than one more or one less use of the source's longest document.
+        cap_kept: no document is used more often than allowed. share_kept: the source's selected tokens are within ``tolerance`` of the whole
+        from their target, or nearer to it than one more or one less use of the source's longest document.
         """
-        weight = F.col("weight") / (float(self.weight[self.tokens > 0].sum()) or 1.0)
         longest = F.create_map(*[F.lit(x) for s, n in zip(self.sources, self.longest, strict=True) for x in (s, float(n))]) if self.sources else F.create_map()
-        one = F.try_divide(F.col("share") * longest[F.col("source")], F.col("tokens_used"))  # the share of that document
-        cap, share = F.col("most_uses") <= F.col("max_repeats"), F.coalesce(F.abs(F.col("share") - weight) <= F.greatest(F.lit(tolerance), one), F.lit(False))
+        gap, whole = F.abs(F.col("tokens_used") - F.col("target_tokens")), float(self.weight[self.tokens > 0].sum() * self.total)
+        share = F.coalesce(gap <= F.greatest(F.lit(tolerance * whole), longest[F.col("source")]), F.lit(False))
+        cap = F.col("most_uses") <= F.col("max_repeats")
         return self.shares().filter("source IS NOT NULL").select("source", F.round("weight", 6).alias("weight"), "max_repeats", "documents", cap.alias("cap_kept"), share.alias("share_kept"))

@@ -51,7 +51,7 @@ def test_empty_hot_and_long(spark):
 
 @pytest.mark.parametrize(("a", "b"), [("ı", "i"), ("ɑ", "a"), ("ɡ", "g"), ("ⅰ", "i"), ("Ⅳ", "IV"), ("ᴏ", "o")])
 def test_more_latin_letters(a, b):
-    assert L.skeleton(a) == lookalike.skeleton(b)
+    assert L.skeleton(a) == L.skeleton(b)
 
 
 def test_members_of_two_hot_texts(spark):
